@@ -13,6 +13,8 @@ from tidepoint.sinks import files
 from tidepoint.sources import artifacts
 
 MANIFEST_VERSION = "tidepoint.logical-export.v1"
+# Fixed value: white space that makes a leading character need quotes.
+SPACE_FIRST = r"^[\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WARNING = "A logical export is neither a backup nor a snapshot; it is not consistent at one point in time."
 
 
@@ -67,7 +69,7 @@ def fragments(spark: SparkSession, slices: DataFrame, directory: str) -> DataFra
 
 
 def _go_csv_field(c: Column, crlf: bool) -> Column:
-    needs = (c == r"\.") | c.rlike(r'[",\r\n]') | c.rlike(r"^[\s\u0085   -     　]")
+    needs = (c == r"\.") | c.rlike(r'[",\r\n]') | c.rlike(SPACE_FIRST)
     body = F.replace(c, F.lit('"'), F.lit('""'))
     if crlf:
         body = F.replace(F.replace(body, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("\r\n"))
@@ -115,7 +117,7 @@ def write_result_csv(
     ).select(
         F.lit(-1).cast("bigint").alias("row_index"),
         F.concat(
-            F.lit("﻿"),
+            F.lit("\N{ZERO WIDTH NO-BREAK SPACE}"),
             csv_record([text.neutralise_formula(F.get("h", F.lit(i))) for i in range(len(columns))], crlf=True),
         ).alias("value"),
     )
@@ -134,7 +136,7 @@ def _json_text(c: Column) -> Column:
     """JSON string literal of a text column."""
     wrapped = F.to_json(F.array(c))
     quoted = F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
-    for plain, escaped in ((" ", r" "), (" ", r" ")):
+    for plain, escaped in (("\N{LINE SEPARATOR}", "\\u2028"), ("\N{PARAGRAPH SEPARATOR}", "\\u2029")):
         quoted = F.replace(quoted, F.lit(plain), F.lit(escaped))
     return quoted
 
