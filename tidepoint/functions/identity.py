@@ -112,3 +112,12 @@ def text_list_digest(texts: list[str]) -> str:
         raw = text.encode()
         digest.update(f"{len(raw)}:".encode() + raw)
     return digest.hexdigest()
+
+
+def series_id_of(statement_id: int, measurement: str, tags: dict[str, str]) -> str:
+    """series_id of one known series, for use as a filter value."""
+    parts = [str(statement_id), measurement]
+    for key in sorted(tags, key=str.encode):
+        parts += [key, tags[key]]
+    packed = b"".join(len(p.encode()).to_bytes(8, "big") + p.encode() for p in parts)
+    return hashlib.sha256(packed).hexdigest()

@@ -118,3 +118,34 @@ def sort_result(rows: DataFrame, column: str, kind: str, descending: bool = Fals
         key = c.cast("string")
     order = key.desc_nulls_last() if descending else key.asc_nulls_first()
     return rows.orderBy(order, *(ties or []))
+
+
+def tabulate(
+    wide: DataFrame, measurement: str, tags: tuple[str, ...], fields: dict[str, str],
+    statement_id: int = 0, ties: list[str] | None = None, run: str = "1d",
+) -> DataFrame:
+    """Computed points as result rows: one series per tag set, rows in time order.
+
+    statement_id, series_id, row_index, measurement, tags, columns, cells.
+    """
+    from tidepoint.functions import identity
+    from tidepoint.model import duration_ns
+    from tidepoint.operators.aggregate import bucket_ns
+    from tidepoint.sources.tables import field_scalar, tag_entries
+
+    names = ["time", *fields]
+    cells = F.array(
+        points.scalar("timestamp_ns", F.col("time_ns").cast("string")),
+        *[F.coalesce(field_scalar(n, k), points.null_scalar()) for n, k in fields.items()],
+    )
+    keyed = wide.withColumn("_tags", F.map_from_entries(tag_entries(tags))).withColumn(
+        "series_id", identity.series_id(F.lit(statement_id), F.lit(measurement), F.col("_tags"))
+    )
+    numbered = number_rows(
+        keyed, ["series_id"], ["time_ns", *(ties or [])], bucket_ns(duration_ns(run))
+    )
+    return numbered.select(
+        F.lit(statement_id).alias("statement_id"), "series_id", "row_index",
+        F.lit(measurement).alias("measurement"), F.col("_tags").alias("tags"),
+        F.array(*map(F.lit, names)).alias("columns"), cells.alias("cells"),
+    )
