@@ -16,6 +16,17 @@ from tidepoint.functions import numbers, text
 from tidepoint.model import INVALID_INPUT, MAX_POINT_BYTES, POINT_TOO_LARGE
 
 
+def evaluate_once(df: DataFrame) -> DataFrame:
+    """Fence: the columns so far are computed once per row and reused above.
+
+    The optimiser rewrites a chain of projections by pasting each column into all its uses;
+    for staged text parsing that multiplies both planning time and work. A generator is a
+    border it does not paste across.
+    """
+    row = F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    return df.select(row.alias("_row")).select("_row.*")
+
+
 def scalar(kind, decimal_text=None, string_value=None, bool_value=None) -> Column:
     """One scalar struct; kind may be a str or a Column."""
     return F.struct(
@@ -107,12 +118,12 @@ def _with_numbers(df: DataFrame) -> DataFrame:
             slow.alias("slow"),
         )
 
-    staged = df.withColumn("fields", F.transform("fields", settle))
+    staged = evaluate_once(df.withColumn("fields", F.transform("fields", settle)))
     slow = F.when(
         F.exists("fields", lambda f: f["slow"].isNotNull()),
         F.transform("fields", lambda f: f["slow"]),
     )
-    staged = staged.withColumn("_slow", numbers.shortest_array_udf(slow))
+    staged = evaluate_once(staged.withColumn("_slow", numbers.shortest_array_udf(slow)))
 
     def merge(f, s):
         v = f["value"]
@@ -124,7 +135,7 @@ def _with_numbers(df: DataFrame) -> DataFrame:
         )
 
     merged = F.zip_with("fields", F.coalesce("_slow", F.array().cast("array<string>")), merge)
-    return staged.withColumn("fields", merged).drop("_slow")
+    return evaluate_once(staged.withColumn("fields", merged).drop("_slow"))
 
 
 def assemble(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -145,20 +156,21 @@ def assemble(df: DataFrame, keep: list[str]) -> DataFrame:
         | F.arrays_overlap(tag_keys, field_keys),
         F.lit(True),
     )
-    df = df.withColumn("code", F.coalesce("code", F.when(problem, F.lit(INVALID_INPUT))))
+    df = evaluate_once(df.withColumn("code", F.coalesce("code", F.when(problem, F.lit(INVALID_INPUT)))))
     good = F.col("code").isNull()
     df = df.withColumn("tags", F.when(good, F.array_sort("tags"))).withColumn(
         "fields",
         F.when(good, F.array_sort("fields", lambda a, b: F.when(a["key"] < b["key"], -1)
                                   .when(a["key"] > b["key"], 1).otherwise(0))),
     )
-    df = df.withColumn("series_key", series_key(F.col("measurement"), F.col("tags")))
-    df = df.withColumn(
+    df = evaluate_once(df)
+    df = evaluate_once(df.withColumn("series_key", series_key(F.col("measurement"), F.col("tags"))))
+    df = evaluate_once(df.withColumn(
         "canonical_lp",
         F.concat_ws(" ", "series_key", field_set(F.col("fields")), F.col("time_ns").cast("string")),
-    )
+    ))
     too_large = F.octet_length("canonical_lp") > MAX_POINT_BYTES
-    df = df.withColumn("code", F.coalesce("code", F.when(too_large, F.lit(POINT_TOO_LARGE))))
+    df = evaluate_once(df.withColumn("code", F.coalesce("code", F.when(too_large, F.lit(POINT_TOO_LARGE)))))
     good = F.col("code").isNull()
     return df.select(
         *keep,

@@ -75,18 +75,20 @@ def parse_line_protocol(df: DataFrame, raw: str = "raw", keep: list[str] | None
     keep = list(keep or [])
     line = F.col("_line")
     df = df.select(*keep, F.col(raw).alias("_line"))
-    df = df.where((line != "") & ~F.startswith(line, F.lit("#")))
+    df = points.evaluate_once(df.where((line != "") & ~F.startswith(line, F.lit("#"))))
     usable = (F.octet_length(line) <= MAX_LP_LINE_BYTES) & F.is_valid_utf8(line) & ~text.has_control(line)
     df = df.withColumn("_usable", usable)
     df = df.withColumn("_series", F.when(F.col("_usable"), F.regexp_extract(line, SERIES_PART, 0)))
+    df = points.evaluate_once(df)
     rest = F.when(F.col("_series") != "", F.substring(line, F.length("_series") + 2, F.length(line)))
-    df = df.withColumn("_rest", rest)
-    df = df.withColumn("_fields", F.regexp_extract("_rest", FIELDS_PART, 0))
+    df = points.evaluate_once(df.withColumn("_rest", rest))
+    df = points.evaluate_once(df.withColumn("_fields", F.regexp_extract("_rest", FIELDS_PART, 0)))
     df = df.withColumn(
         "_time",
         F.when(F.col("_fields") != "", F.substring("_rest", F.length("_fields") + 2, F.length("_rest"))),
     )
-    time_text = numbers.canonical_int64(F.col("_time"))
+    df = points.evaluate_once(df.withColumn("_time", numbers.canonical_int64(F.col("_time"))))
+    time_text = F.col("_time")
     well_formed = F.col("_series").rlike(SERIES) & F.col("_fields").rlike(FIELDS) & time_text.isNotNull()
     code = (
         F.when(F.octet_length(line) > MAX_LP_LINE_BYTES, POINT_TOO_LARGE)
@@ -94,7 +96,7 @@ def parse_line_protocol(df: DataFrame, raw: str = "raw", keep: list[str] | None
         .when((F.col("_series") == "") | (F.col("_fields") == ""), TIMESTAMP_REQUIRED)
         .when(~F.coalesce(well_formed, F.lit(False)), INVALID_INPUT)
     )
-    df = df.withColumn("code", code)
+    df = points.evaluate_once(df.withColumn("code", code))
     good = F.col("code").isNull()
     series = F.when(good, F.col("_series"))
     fields = F.when(good, F.col("_fields"))
@@ -114,7 +116,7 @@ def parse_line_protocol(df: DataFrame, raw: str = "raw", keep: list[str] | None
         ).alias("fields"),
         F.when(good, time_text).try_cast("bigint").alias("time_ns"),
     )
-    return points.assemble(df, keep)
+    return points.assemble(points.evaluate_once(df), keep)
 
 
 def split_rejects(parsed: DataFrame, fail_on_reject: bool = False) -> tuple[DataFrame, DataFrame]:

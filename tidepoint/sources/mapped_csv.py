@@ -136,7 +136,7 @@ def points_from_csv(df: DataFrame, mapping: CsvMapping, keep: list[str] | None =
         F.array(*fields).alias("fields"),
         stamp_text.try_cast("bigint").alias("time_ns"),
     )
-    return points.assemble(df, keep)
+    return points.assemble(points.evaluate_once(df), keep)
 
 
 def read_mapped_csv(

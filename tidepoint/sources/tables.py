@@ -73,7 +73,8 @@ def points_from_wide(df: DataFrame, shape: PointShape, keep: tuple[str, ...] = (
     )
     staged = df.select(
         *keep, "measurement", tag_entries(shape.tags).alias("_tags"), entries.alias("_fields"), "time_ns"
-    ).where(F.size("_fields") > 0)
+    )
+    staged = points.evaluate_once(staged).where(F.size("_fields") > 0)
     return staged.select(
         *keep,
         "measurement",
@@ -81,7 +82,10 @@ def points_from_wide(df: DataFrame, shape: PointShape, keep: tuple[str, ...] = (
         F.map_from_entries("_fields").alias("fields"),
         "time_ns",
         points.series_key(F.col("measurement"), F.col("_tags")).alias("series_key"),
-    ).withColumn("canonical_lp", points_line())
+        points.field_set(F.col("_fields")).alias("_set"),
+    ).withColumn(
+        "canonical_lp", F.concat_ws(" ", "series_key", "_set", F.col("time_ns").cast("string"))
+    ).drop("_set")
 
 
 def points_line() -> Column:

@@ -59,20 +59,6 @@ def _only(m: Column, names: tuple[str, ...]) -> Column:
     return F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, names)))) == 0
 
 
-def _whole_json(line: Column) -> Column:
-    """The one JSON value on the line; NULL when broken or followed by more text.
-
-    The JSON parser stops at the end of the first value, so the line is parsed
-    inside brackets and inside braces: no text can close both too early.
-    """
-    in_list = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"line":'), line, F.lit("}")))
-    return F.when(
-        in_list.isNotNull() & F.try_variant_get(in_list, "$[1]", "variant").isNull(),
-        F.try_variant_get(in_object, "$.line", "variant"),
-    )
-
-
 def _scalar_parts(v: Column) -> Column:
     """VARIANT tagged scalar -> STRUCT<ok, kind, decimal, value>."""
     m = _object(v)
@@ -104,8 +90,18 @@ def parse_typed_jsonl(
     keep = list(keep or [])
     df = df.select(*keep, F.col(raw).alias("_line")).where(F.col("_line") != "")
     in_size = F.octet_length("_line") <= MAX_JSONL_LINE_BYTES
-    df = df.withColumn("_json", F.when(in_size, _whole_json(F.col("_line"))))
-    df = df.withColumn("_root", _object(F.col("_json")))
+    in_list = F.try_parse_json(F.concat(F.lit("["), F.col("_line"), F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"line":'), F.col("_line"), F.lit("}")))
+    df = points.evaluate_once(df.withColumns({
+        "_list": F.when(in_size, in_list), "_object": F.when(in_size, in_object)
+    }))
+    # The parser stops at the end of the first value, so the line is parsed inside brackets
+    # and inside braces: no trailing text can close both too early.
+    alone = F.col("_list").isNotNull() & F.try_variant_get("_list", "$[1]", "variant").isNull()
+    df = points.evaluate_once(
+        df.withColumn("_json", F.when(alone, F.try_variant_get("_object", "$.line", "variant"))).drop("_list", "_object")
+    )
+    df = points.evaluate_once(df.withColumn("_root", _object(F.col("_json"))).drop("_json"))
     root = F.col("_root")
     df = df.select(
         *keep, "_root", F.octet_length("_line").alias("_bytes"),
@@ -119,6 +115,7 @@ def parse_typed_jsonl(
         F.when(~_present(F.col("_tags")), F.create_map().cast("map<string,variant>")),
         _object(F.col("_tags")),
     )
+    df = points.evaluate_once(df)
     df = df.withColumn("_tag_entries", F.map_entries(tags))
     df = df.withColumn("_time", _scalar_parts(F.col("_timestamp")))
     df = df.withColumn(
@@ -128,6 +125,7 @@ def parse_typed_jsonl(
             lambda e: F.struct(e["key"].alias("key"), _scalar_parts(e["value"]).alias("s")),
         ),
     )
+    df = points.evaluate_once(df)
     if mapping is not None:
         folded = mapping.groupBy(F.col("measurement").alias("_m")).agg(
             F.map_from_entries(F.collect_list(F.struct("field", "kind"))).alias("_kinds")
@@ -176,7 +174,7 @@ def parse_typed_jsonl(
             code.alias("code"),
         )
 
-    df = df.withColumn("_checked", F.transform("_staged", field))
+    df = points.evaluate_once(df.withColumn("_checked", F.transform("_staged", field)))
     time = F.col("_time")
     time_text = numbers.canonical_int64(time["decimal"])
     codes = F.transform("_checked", lambda c: c["code"])
@@ -205,6 +203,7 @@ def parse_typed_jsonl(
         .when(F.array_contains(codes, INVALID_INPUT), INVALID_INPUT)
         .when(F.array_contains(codes, NUMERIC_TYPE_REQUIRED), NUMERIC_TYPE_REQUIRED),
     )
+    df = points.evaluate_once(df)
     good = F.col("code").isNull()
     df = df.select(
         *keep, "code", "measurement",
@@ -215,7 +214,7 @@ def parse_typed_jsonl(
         F.transform(F.when(good, F.col("_checked")), lambda c: c["f"]).alias("fields"),
         F.when(good, time_text).try_cast("bigint").alias("time_ns"),
     )
-    return points.assemble(df, keep)
+    return points.assemble(points.evaluate_once(df), keep)
 
 
 def read_typed_jsonl(
