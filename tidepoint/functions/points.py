@@ -119,18 +119,15 @@ def _with_numbers(df: DataFrame) -> DataFrame:
         )
 
     staged = evaluate_once(df.withColumn("fields", F.transform("fields", settle)))
-    slow = F.when(
-        F.exists("fields", lambda f: f["slow"].isNotNull()),
-        F.transform("fields", lambda f: f["slow"]),
-    )
-    staged = evaluate_once(staged.withColumn("_slow", numbers.shortest_array_udf(slow)))
+    slow = numbers.shortest_each(F.transform("fields", lambda f: f["slow"]))
+    staged = evaluate_once(staged.withColumn("_slow", slow))
 
     def merge(f, s):
         v = f["value"]
         return F.struct(
             f["key"].alias("key"),
             scalar(
-                v["kind"], F.coalesce(v["decimal_text"], s), v["string_value"], v["bool_value"]
+                v["kind"], F.coalesce(v["decimal_text"], F.nullif(s, F.lit(""))), v["string_value"], v["bool_value"]
             ).alias("value"),
         )
 
@@ -158,10 +155,9 @@ def assemble(df: DataFrame, keep: list[str]) -> DataFrame:
     )
     df = evaluate_once(df.withColumn("code", F.coalesce("code", F.when(problem, F.lit(INVALID_INPUT)))))
     good = F.col("code").isNull()
-    df = df.withColumn("tags", F.when(good, F.array_sort("tags"))).withColumn(
-        "fields",
-        F.when(good, F.array_sort("fields", lambda a, b: F.when(a["key"] < b["key"], -1)
-                                  .when(a["key"] > b["key"], 1).otherwise(0))),
+    # Keys are unique here, so the struct order is the byte order of the keys.
+    df = df.withColumn("tags", F.when(good, F.sort_array("tags"))).withColumn(
+        "fields", F.when(good, F.sort_array("fields"))
     )
     df = evaluate_once(df)
     df = evaluate_once(df.withColumn("series_key", series_key(F.col("measurement"), F.col("tags"))))

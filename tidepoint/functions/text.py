@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 from tidepoint.model import NS_PER_SECOND
 
 
+def _backslash(c: Column, special: str) -> Column:
+    # Plain byte replacement; the backslash itself comes first in `special`.
+    for ch in special:
+        c = F.replace(c, F.lit(ch), F.lit("\\" + ch))
+    return c
+
+
 def escape_measurement(c: Column) -> Column:
     """Backslash before backslash, space and comma."""
-    return F.regexp_replace(c, r"([\\ ,])", r"\\$1")
+    return _backslash(c, "\\ ,")
 
 
 def escape_token(c: Column) -> Column:
     """Backslash before backslash, space, comma and equals (tag keys, tag values, field keys)."""
-    return F.regexp_replace(c, r"([\\ ,=])", r"\\$1")
+    return _backslash(c, "\\ ,=")
 
 
 def quote_string(c: Column) -> Column:
     """String field value in double quotes."""
-    return F.concat(F.lit('"'), F.regexp_replace(c, r'([\\"])', r"\\$1"), F.lit('"'))
+    return F.concat(F.lit('"'), _backslash(c, '\\"'), F.lit('"'))
 
 
 def has_control(c: Column) -> Column:
     """True when the text holds CR, LF or NUL."""
-    return c.rlike(r"[\r\n\x00]")
+    return c.contains("\r") | c.contains("\n") | c.contains("\0")
 
 
 def valid_name(c: Column) -> Column:

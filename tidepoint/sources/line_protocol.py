@@ -32,15 +32,13 @@ MEASUREMENT = r"(?:[^\\,]++|\\[ ,\\])++"
 TAG_KEY = r"(?:[^\\,=]++|\\[ ,=\\])++"
 TAG_VALUE = r"(?:[^\\,]++|\\[ ,=\\])++"
 TAG = rf",({TAG_KEY})=({TAG_VALUE})"
-SERIES = rf"^{MEASUREMENT}(?:,{TAG_KEY}={TAG_VALUE})*+$"
 FIELD_KEY = r'(?:[^\\,="]++|\\[ ,=\\]|"(?:[^\\"]++|\\[ ,=\\])*+")++'
 FIELD_VALUE = r'(?:"(?:[^\\"]++|\\.)*+"|[^\\,"]++)'
 FIELD = rf"(?s)(?:^|,)({FIELD_KEY})=({FIELD_VALUE})"
-FIELDS = rf"(?s)^{FIELD_KEY}={FIELD_VALUE}(?:,{FIELD_KEY}={FIELD_VALUE})*+$"
 
 
 def _unescape(c: Column) -> Column:
-    return F.regexp_replace(c, r"\\(.)", "$1")
+    return F.when(c.contains("\\"), F.regexp_replace(c, r"\\(.)", "$1")).otherwise(c)
 
 
 def _typed(key: Column, value: Column) -> Column:
@@ -62,7 +60,10 @@ def _typed(key: Column, value: Column) -> Column:
         _unescape(key),
         kind,
         number,
-        F.when(is_string, F.regexp_replace(inner, r'\\([\\"])', "$1")),
+        F.when(
+            is_string,
+            F.when(inner.contains("\\"), F.regexp_replace(inner, r'\\([\\"])', "$1")).otherwise(inner),
+        ),
         F.when(~is_string & is_bool, is_true),
     )
 
@@ -89,31 +90,44 @@ def parse_line_protocol(df: DataFrame, raw: str = "raw", keep: list[str] | None
     )
     df = points.evaluate_once(df.withColumn("_time", numbers.canonical_int64(F.col("_time"))))
     time_text = F.col("_time")
-    well_formed = F.col("_series").rlike(SERIES) & F.col("_fields").rlike(FIELDS) & time_text.isNotNull()
+    series, fields = F.col("_series"), F.col("_fields")
+    df = points.evaluate_once(df.withColumns({
+        "_name": F.regexp_extract(series, "^" + MEASUREMENT, 0),
+        "_tag_keys": F.regexp_extract_all(series, F.lit(TAG), F.lit(1)),
+        "_tag_values": F.regexp_extract_all(series, F.lit(TAG), F.lit(2)),
+        "_field_keys": F.regexp_extract_all(fields, F.lit(FIELD), F.lit(1)),
+        "_field_values": F.regexp_extract_all(fields, F.lit(FIELD), F.lit(2)),
+    }))
+
+    def total(column):
+        return F.aggregate(column, F.lit(0), lambda acc, t: acc + F.length(t))
+
+    # Matches that leave nothing of the text over prove that all of it is well formed.
+    series_used = (
+        F.length("_name") + total("_tag_keys") + total("_tag_values") + 2 * F.size("_tag_keys")
+    )
+    fields_used = total("_field_keys") + total("_field_values") + 2 * F.size("_field_keys") - 1
+    well_formed = (
+        (F.col("_name") != "") & (series_used == F.length(series)) & (fields_used == F.length(fields))
+        & time_text.isNotNull()
+    )
     code = (
         F.when(F.octet_length(line) > MAX_LP_LINE_BYTES, POINT_TOO_LARGE)
         .when(~F.col("_usable"), INVALID_INPUT)
-        .when((F.col("_series") == "") | (F.col("_fields") == ""), TIMESTAMP_REQUIRED)
+        .when((series == "") | (fields == ""), TIMESTAMP_REQUIRED)
         .when(~F.coalesce(well_formed, F.lit(False)), INVALID_INPUT)
     )
     df = points.evaluate_once(df.withColumn("code", code))
     good = F.col("code").isNull()
-    series = F.when(good, F.col("_series"))
-    fields = F.when(good, F.col("_fields"))
     df = df.select(
         *keep,
         "code",
-        _unescape(F.regexp_extract(series, "^" + MEASUREMENT, 0)).alias("measurement"),
+        _unescape(F.col("_name")).alias("measurement"),
         F.zip_with(
-            F.regexp_extract_all(series, F.lit(TAG), F.lit(1)),
-            F.regexp_extract_all(series, F.lit(TAG), F.lit(2)),
+            F.when(good, F.col("_tag_keys")), F.col("_tag_values"),
             lambda k, v: F.struct(_unescape(k).alias("key"), _unescape(v).alias("value")),
         ).alias("tags"),
-        F.zip_with(
-            F.regexp_extract_all(fields, F.lit(FIELD), F.lit(1)),
-            F.regexp_extract_all(fields, F.lit(FIELD), F.lit(2)),
-            _typed,
-        ).alias("fields"),
+        F.zip_with(F.when(good, F.col("_field_keys")), F.col("_field_values"), _typed).alias("fields"),
         F.when(good, time_text).try_cast("bigint").alias("time_ns"),
     )
     return points.assemble(points.evaluate_once(df), keep)

@@ -48,44 +48,87 @@ def wide_series_key(measurement: Column, tags: tuple[str, ...]) -> Column:
     return points.series_key(measurement, tag_entries(tags))
 
 
-def field_scalar(name: str, kind: str) -> Column:
-    """Typed column -> scalar struct (NULL column -> NULL struct)."""
+def field_scalar(name: str, kind: str, text: Column | None = None) -> Column:
+    """Typed column -> scalar struct (NULL column -> NULL struct). `text` is a float's settled text."""
     c = F.col(f"`{name}`")
     if kind == "string":
         value = points.scalar(kind, string_value=c)
     elif kind == "boolean":
         value = points.scalar(kind, bool_value=c)
     elif kind == "float64":
-        value = points.scalar(kind, numbers.float_text(c))
+        value = points.scalar(kind, numbers.float_text(c) if text is None else text)
     else:
         value = points.scalar(kind, c.cast("string"))
     return F.when(c.isNotNull(), value)
 
 
+def _settled_floats(df: DataFrame, names: list[str]) -> DataFrame:
+    """Add `_t_<name>`, the canonical text of each float column, with one trip to Python for all."""
+    if not names:
+        return df
+    plain = {n: numbers.plain_text(F.col(f"`{n}`")) for n in names}
+    df = points.evaluate_once(df.withColumns({f"_t_{n}": c for n, c in plain.items()}))
+    slow = F.array(*[F.when(F.col(f"`_t_{n}`").isNull(), F.col(f"`{n}`")) for n in names])
+    any_slow = F.lit(False)
+    for n in names:
+        any_slow = any_slow | (F.col(f"`_t_{n}`").isNull() & F.col(f"`{n}`").isNotNull())
+    df = points.evaluate_once(df.withColumn("_slow", numbers.shortest_each(F.when(any_slow, slow))))
+    return df.withColumns({
+        f"_t_{n}": F.coalesce(F.col(f"`_t_{n}`"), F.nullif(F.get("_slow", F.lit(i)), F.lit("")))
+        for i, n in enumerate(names)
+    }).drop("_slow")
+
+
 def points_from_wide(df: DataFrame, shape: PointShape, keep: tuple[str, ...] = ()) -> DataFrame:
-    """points_wide -> canonical long points; NULL fields are absent, rows without a field are dropped."""
+    """points_wide -> canonical long points; NULL fields are absent, rows without a field are dropped.
+
+    The shape is known, so lines are built by plain concatenation in key order.
+    """
+    from tidepoint.functions import text
+
+    fields = sorted(shape.fields.items(), key=lambda f: f[0].encode())
+    df = df.select(*keep, "measurement", "time_ns", *shape.tags, *shape.fields)
+    df = df.where(F.coalesce(*[F.col(f"`{n}`").cast("string") for n in shape.fields]).isNotNull())
+    df = _settled_floats(df, [n for n, k in fields if k == "float64"])
+    df = points.evaluate_once(df)
+
+    def settled(name, kind):
+        return F.col(f"`_t_{name}`") if kind == "float64" else None
+
+    pairs = []
+    for name, kind in fields:
+        c = F.col(f"`{name}`")
+        shown = {
+            "float64": lambda: settled(name, kind), "string": lambda: text.quote_string(c),
+            "boolean": lambda: c.cast("string"), "int64": lambda: F.concat(c.cast("string"), F.lit("i")),
+            "uint64": lambda: F.concat(c.cast("string"), F.lit("u")),
+        }[kind]()
+        pairs.append(F.concat(text.escape_token(F.lit(name)), F.lit("="), shown))
+    tags = [
+        F.when(F.col(f"`{t}`") != "", F.concat(
+            F.lit(","), text.escape_token(F.lit(t)), F.lit("="), text.escape_token(F.col(f"`{t}`"))))
+        for t in sorted(shape.tags, key=str.encode)
+    ]
     entries = F.filter(
         F.array(*[
-            F.struct(F.lit(n).alias("key"), field_scalar(n, k).alias("value"))
-            for n, k in sorted(shape.fields.items())
+            F.struct(F.lit(n).alias("key"), field_scalar(n, k, settled(n, k)).alias("value")) for n, k in fields
         ]),
         lambda e: e["value"].isNotNull(),
     )
-    staged = df.select(
-        *keep, "measurement", tag_entries(shape.tags).alias("_tags"), entries.alias("_fields"), "time_ns"
-    )
-    staged = points.evaluate_once(staged).where(F.size("_fields") > 0)
-    return staged.select(
+    return df.select(
         *keep,
         "measurement",
-        F.map_from_entries("_tags").alias("tags"),
-        F.map_from_entries("_fields").alias("fields"),
+        F.map_from_entries(tag_entries(shape.tags)).alias("tags"),
+        F.map_from_entries(entries).alias("fields"),
         "time_ns",
-        points.series_key(F.col("measurement"), F.col("_tags")).alias("series_key"),
-        points.field_set(F.col("_fields")).alias("_set"),
-    ).withColumn(
-        "canonical_lp", F.concat_ws(" ", "series_key", "_set", F.col("time_ns").cast("string"))
-    ).drop("_set")
+        F.concat(text.escape_measurement(F.col("measurement")), F.concat_ws("", *tags)).alias("series_key"),
+        F.concat_ws(
+            " ",
+            F.concat(text.escape_measurement(F.col("measurement")), F.concat_ws("", *tags)),
+            F.concat_ws(",", *pairs),
+            F.col("time_ns").cast("string"),
+        ).alias("canonical_lp"),
+    )
 
 
 def points_line() -> Column:
