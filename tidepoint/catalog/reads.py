@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepoint.catalog.registry import (
-    DAY, E, EVENTS, FEB_1, JAN_1, O, SECOND, event_points, events, lineitem, orders, query, rounded, table,
+    DAY, E, EVENTS, FEB_1, HOUR, JAN_1, O, SECOND, event_points, events, lineitem, orders, query, rounded, table,
 )
 from tidepoint.operators import aggregate, mutate, schema, select
 from tidepoint.plans import slices
@@ -20,12 +20,12 @@ def time_range(spark, sf):
     return select.time_range(events(spark, sf), LOW, HIGH).select("time_ns", "event_type", "user_id", "value")
 
 
-@query("since", f"SELECT time_ns, event_type, value FROM {E} WHERE time_ns > {NOW} - 7 * {DAY}")
+@query("since", f"SELECT time_ns, event_type, value FROM {E} WHERE time_ns > {NOW} - {7 * DAY}")
 def since(spark, sf):
     return select.since(events(spark, sf), NOW, "7d").select("time_ns", "event_type", "value")
 
 
-@query("since_inclusive", f"SELECT time_ns, event_type, value FROM {E} WHERE time_ns >= {NOW} - 6 * 3600 * {SECOND}")
+@query("since_inclusive", f"SELECT time_ns, event_type, value FROM {E} WHERE time_ns >= {NOW} - {6 * HOUR}")
 def since_inclusive(spark, sf):
     return select.since(events(spark, sf), NOW, "6h", inclusive=True).select("time_ns", "event_type", "value")
 
@@ -90,7 +90,7 @@ HOURLY = [("mean", "value", "mean_value"), ("sum", "user_id", "sum_user"), ("cou
 
 @query(
     "group_by_time",
-    f"SELECT time_ns - time_ns % (3600 * {SECOND}) AS bucket_ns, event_type, round(avg(value), 6) AS mean_value, "
+    f"SELECT time_ns - time_ns % {HOUR} AS bucket_ns, event_type, round(avg(value), 6) AS mean_value, "
     f"CAST(sum(user_id) AS BIGINT) AS sum_user, count(value) AS n FROM {E} GROUP BY 1, 2",
 )
 def group_by_time(spark, sf):
@@ -132,7 +132,7 @@ def fill_null(spark, sf):
 @query(
     "subquery",
     f"SELECT event_type, round(max(mean_value), 6) AS peak FROM "
-    f"(SELECT time_ns - time_ns % (3600 * {SECOND}) AS b, event_type, avg(value) AS mean_value FROM {E} GROUP BY 1, 2) "
+    f"(SELECT time_ns - time_ns % {HOUR} AS b, event_type, avg(value) AS mean_value FROM {E} GROUP BY 1, 2) "
     f"GROUP BY event_type",
 )
 def subquery(spark, sf):
@@ -353,7 +353,7 @@ def delete_points_preview(spark, sf):
     return mutate.delete_preview(events(spark, sf), (F.col("event_type") == "error") & (F.col("value") > 10))
 
 
-@query("apply_retention", f"SELECT time_ns, event_type, value FROM {E} WHERE time_ns >= {NOW} - 10 * {DAY}")
+@query("apply_retention", f"SELECT time_ns, event_type, value FROM {E} WHERE time_ns >= {NOW} - {10 * DAY}")
 def apply_retention(spark, sf):
     return mutate.apply_retention(events(spark, sf), "10d", NOW).select("time_ns", "event_type", "value")
 

@@ -24,7 +24,8 @@ LINEITEM = tables.PointShape(
 )
 
 SECOND = 1_000_000_000
-DAY = 86_400 * SECOND
+HOUR = 3_600 * SECOND
+DAY = 24 * HOUR
 JAN_1 = 1_704_067_200 * SECOND  # 2024-01-01T00:00:00Z
 FEB_1 = JAN_1 + 31 * DAY
 JOB = "8f14e45f-ceea-467f-a8c1-2b5d3f0a9e11"

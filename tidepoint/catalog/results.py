@@ -79,9 +79,9 @@ def statement_summary(spark, sf):
 
 @query(
     "column_kinds",
-    "SELECT 'time' AS \"column\", 'timestamp_ns' AS kind FROM events GROUP BY ALL UNION ALL "
-    "SELECT 'value', CASE WHEN count(DISTINCT CASE WHEN event_type = 'error' THEN 'a' ELSE 'b' END) > 1 THEN 'mixed' ELSE 'float64' END FROM events "
-    "UNION ALL SELECT 'user_id', 'int64' FROM events GROUP BY ALL",
+    "SELECT DISTINCT 'time' AS \"column\", 'timestamp_ns' AS kind FROM events UNION ALL "
+    "SELECT 'value', CASE WHEN count(DISTINCT event_type = 'error') > 1 THEN 'mixed' ELSE 'float64' END FROM events "
+    "UNION ALL SELECT DISTINCT 'user_id', 'int64' FROM events",
 )
 def column_kinds(spark, sf):
     rows = event_rows(spark, sf)
@@ -171,7 +171,7 @@ def chart_verdict(spark, sf):
 @query(
     "format_timestamp",
     f"""
-    SELECT event_id, strftime(make_timestamp(epoch_us(ts) + 8 * 3600 * 1000000), '%Y-%m-%d %H:%M:%S') ||
+    SELECT event_id, strftime(make_timestamp(epoch_us(ts) + 28800000000), '%Y-%m-%d %H:%M:%S') ||
            CASE WHEN epoch_us(ts) % 1000000 = 0 THEN ''
                 ELSE '.' || rtrim(printf('%06d', epoch_us(ts) % 1000000), '0') END AS shown
     FROM events

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepoint.catalog.registry import E, SECOND, event_points, query, rounded, shared_dir, table
+from tidepoint.catalog.registry import E, HOUR, event_points, query, rounded, shared_dir, table
 from tidepoint.streaming import downsample, ingest, task_state
 
 
@@ -26,9 +26,9 @@ def stream_ingest(spark, sf):
 @query(
     "continuous_downsample",
     f"""
-    SELECT time_ns - time_ns % (3600 * {SECOND}) AS bucket_ns, event_type, round(avg(value), 6) AS mean_value, count(value) AS n
-    FROM {E} WHERE time_ns - time_ns % (3600 * {SECOND}) + 3600 * {SECOND} <=
-      (SELECT max(time_ns) // 1000000 * 1000000 - 3600 * {SECOND} FROM {E})
+    SELECT time_ns - time_ns % {HOUR} AS bucket_ns, event_type, round(avg(value), 6) AS mean_value, count(value) AS n
+    FROM {E} WHERE time_ns - time_ns % {HOUR} + {HOUR} <=
+      (SELECT max(time_ns) // 1000000 * 1000000 - {HOUR} FROM {E})
     GROUP BY 1, 2
     """,
 )
