@@ -102,13 +102,13 @@ def test_gzip_members(spark, tmp_path):
     sound = gzip.compress(b"m value=1i 1\n")
     flipped = bytearray(sound)
     flipped[-6] ^= 1
-    files = {"ok": sound, "crc": bytes(flipped), "two": sound + sound, "tail": sound + b"x", "cut": sound[:-3], "text": b"m value=1i 1\n"}
+    files = {"ok": sound, "crc": bytes(flipped), "two": sound + sound, "tail": sound + b"x", "cut": sound[:-3], "text": b"m value=1i 1\n", "zero": b""}
     for name, content in files.items():
         (tmp_path / f"{name}.lp.gz").write_bytes(content)
     good, bad = line_protocol.read_line_protocol_gz(spark, str(tmp_path))
     assert [r["canonical_lp"] for r in good.collect()] == ["m value=1i 1"]
     assert {r["source_file"].split("/")[-1].split(".")[0]: r["code"] for r in bad.collect()} == dict.fromkeys(
-        ["crc", "two", "tail", "cut", "text"], "INVALID_GZIP")
+        ["crc", "two", "tail", "cut", "text", "zero"], "INVALID_GZIP")
     _, limited = line_protocol.read_line_protocol_gz(spark, str(tmp_path / "ok.lp.gz"), limit=5)
     assert [r["code"] for r in limited.collect()] == ["GZIP_LIMIT_EXCEEDED"]
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +29,7 @@ def open_stream(path: str):
         local = path[5:]
         while local.startswith("//"):
             local = local[1:]
-        from urllib.parse import unquote
-
-        return fs.LocalFileSystem().open_input_stream(unquote(local), compression=None)
+        return fs.LocalFileSystem().open_input_stream(local, compression=None)
     filesystem, inner = fs.FileSystem.from_uri(path)
     return filesystem.open_input_stream(inner, compression=None)
 
@@ -74,10 +74,18 @@ def inspect_gzip(stream, limit: int) -> dict:
 
 
 def list_files(spark: SparkSession, path) -> DataFrame:
-    """path, length, modification_time of every file; contents are not read."""
-    return spark.read.format("binaryFile").load(path).select(
-        "path", "length", F.col("modificationTime").alias("modification_time")
+    """path, length, modification_time of every file; contents are not read.
+
+    A scan leaves out files of zero bytes, so those are added from the driver's own listing.
+    """
+    scan = spark.read.format("binaryFile").load(path)
+    found = scan.select("path", "length", F.col("modificationTime").alias("modification_time"))
+    names = [(re.sub("^file:/+", "file:/", unquote(name)),) for name in scan.inputFiles()]
+    listed = spark.createDataFrame(names, "path string")
+    empty = listed.join(found, "path", "left_anti").select(
+        "path", F.lit(0).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modification_time")
     )
+    return found.unionByName(empty)
 
 
 def verify_artifacts(spark: SparkSession, path, limit: int = MAX_GZIP_BYTES) -> DataFrame:
