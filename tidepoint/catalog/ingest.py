@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepoint.catalog.registry import (
-    DAY, E, EVENT_LINE, EVENTS, FEB_1, JAN_1, JOB, LINEITEM, SECOND, event_points, events, lineitem, num, query,
-    shared_dir, table,
+    DAY, E, EVENT_LINE, EVENTS, FEB_1, JAN_1, JOB, LINEITEM, SECOND, event_points, events, num, query,
+    shared_dir, spread_table, table,
 )
 from tidepoint.functions import identity
 from tidepoint.operators import aggregate, batches, results
@@ -23,14 +23,18 @@ LI_LINE = (
 )
 
 
+def _lineitem_points(spark, sf):
+    return tables.points_from_wide(tables.wide_points(spread_table(spark, sf, "lineitem"), LINEITEM), LINEITEM)
+
+
 @query("canonical_lp", f"SELECT {LI_LINE} AS canonical_lp FROM lineitem")
 def canonical_lp(spark, sf):
-    return tables.points_from_wide(lineitem(spark, sf), LINEITEM).select("canonical_lp")
+    return _lineitem_points(spark, sf).select("canonical_lp")
 
 
 def _event_lines(spark, sf):
     """Lines as a sloppy writer sends them: unsorted, odd spellings, and every kind of defect."""
-    e = table(spark, sf, "events")
+    e = spread_table(spark, sf, "events")
     ns = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string")
     kind, value, user = F.col("event_type"), F.col("value").cast("string"), F.col("user_id").cast("string")
     line = (
@@ -70,7 +74,7 @@ def parse_line_protocol(spark, sf):
     "SELECT l_returnflag, l_linestatus, epoch_us(l_shipdate) * 1000 AS time_ns, l_quantity, l_extendedprice, l_orderkey FROM lineitem",
 )
 def parse_line_protocol_values(spark, sf):
-    lines = tables.points_from_wide(lineitem(spark, sf), LINEITEM).select(F.col("canonical_lp").alias("raw"))
+    lines = _lineitem_points(spark, sf).select(F.col("canonical_lp").alias("raw"))
     p = line_protocol.parse_line_protocol(lines)
 
     def field(name, to):
@@ -122,7 +126,7 @@ def line_protocol_files(spark, sf):
     """,
 )
 def typed_jsonl_in(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread_table(spark, sf, "events")
     ns = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string")
     kind = F.col("event_type")
     extra = F.when(kind == "error", F.lit('"odd":{"kind":"numeric_text","decimalText":"1"},')).when(
@@ -150,7 +154,7 @@ def typed_jsonl_in(spark, sf):
     """,
 )
 def mapped_csv_in(spark, sf):
-    o = table(spark, sf, "orders")
+    o = spread_table(spark, sf, "orders")
     rows = o.select(
         "o_orderkey", F.col("o_orderstatus").alias("st"),
         F.when(F.col("o_orderpriority") != "1-URGENT",

@@ -45,6 +45,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row: a scan with fewer tasks than cores is spread first.
+
+    The scan has no shuffle below it, so asking for its partitions is only planning. A large
+    table has more splits than cores and is left alone.
+    """
+    df = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return tables.wide_points(table(spark, sf, "events"), EVENTS)
 
@@ -58,7 +69,7 @@ def lineitem(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_points(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.points_from_wide(events(spark, sf), EVENTS)
+    return tables.points_from_wide(tables.wide_points(spread_table(spark, sf, "events"), EVENTS), EVENTS)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:

@@ -103,9 +103,9 @@ def _with_numbers(df: DataFrame) -> DataFrame:
     handed to the Arrow stage that knows the shortest text of a double.
     """
 
-    def settle(f):
+    def settle(e):
+        f, easy = e["f"], e["easy"]
         kind = f["kind"]
-        easy = f["text"].rlike(numbers.PLAIN_FLOAT)
         decimal = (
             F.when(kind == "int64", numbers.canonical_int64(f["text"]))
             .when(kind == "uint64", numbers.canonical_uint64(f["text"]))
@@ -118,7 +118,9 @@ def _with_numbers(df: DataFrame) -> DataFrame:
             slow.alias("slow"),
         )
 
-    staged = evaluate_once(df.withColumn("fields", F.transform("fields", settle)))
+    tested = F.transform("fields", lambda f: F.struct(
+        f.alias("f"), ((f["kind"] == "float64") & f["text"].rlike(numbers.PLAIN_FLOAT)).alias("easy")))
+    staged = evaluate_once(df.withColumn("fields", F.transform(tested, settle)))
     slow = numbers.shortest_each(F.transform("fields", lambda f: f["slow"]))
     staged = evaluate_once(staged.withColumn("_slow", slow))
 
@@ -160,11 +162,10 @@ def assemble(df: DataFrame, keep: list[str]) -> DataFrame:
         "fields", F.when(good, F.sort_array("fields"))
     )
     df = evaluate_once(df)
-    df = evaluate_once(df.withColumn("series_key", series_key(F.col("measurement"), F.col("tags"))))
-    df = evaluate_once(df.withColumn(
-        "canonical_lp",
-        F.concat_ws(" ", "series_key", field_set(F.col("fields")), F.col("time_ns").cast("string")),
-    ))
+    df = evaluate_once(df.withColumns({
+        "series_key": series_key(F.col("measurement"), F.col("tags")), "_set": field_set(F.col("fields")),
+    }))
+    df = df.withColumn("canonical_lp", F.concat_ws(" ", "series_key", "_set", F.col("time_ns").cast("string")))
     too_large = F.octet_length("canonical_lp") > MAX_POINT_BYTES
     df = evaluate_once(df.withColumn("code", F.coalesce("code", F.when(too_large, F.lit(POINT_TOO_LARGE)))))
     good = F.col("code").isNull()

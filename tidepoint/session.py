@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Larger generated methods are never compiled by the JVM; run those operators unfused.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # The last of several equal JSON keys counts, as in most JSON readers.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

@@ -41,30 +41,32 @@ def _unescape(c: Column) -> Column:
     return F.when(c.contains("\\"), F.regexp_replace(c, r"\\(.)", "$1")).otherwise(c)
 
 
-def _typed(key: Column, value: Column) -> Column:
-    inner = F.substring(value, F.lit(2), F.length(value) - 2)
-    lowered = F.lower(value)
-    is_string = F.startswith(value, F.lit('"'))
-    is_true = lowered.isin("t", "true")
-    is_bool = is_true | lowered.isin("f", "false")
-    suffix = F.right(value, F.lit(1))
-    kind = (
-        F.when(is_string, "string").when(is_bool, "boolean").when(suffix == "i", "int64")
-        .when(suffix == "u", "uint64").otherwise("float64")
-    )
-    number = F.when(
-        ~is_string & ~is_bool,
-        F.when(suffix.isin("i", "u"), F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value),
+def _kind(value: Column) -> Column:
+    """Kind that the spelling of a field value claims; whether it is a good number is seen later."""
+    first, last = F.left(value, F.lit(1)), F.right(value, F.lit(1))
+    return (
+        F.when(first == '"', "string")
+        .when(first.isin("t", "T", "f", "F") & F.lower(value).isin("t", "true", "f", "false"), "boolean")
+        .when(last == "i", "int64")
+        .when(last == "u", "uint64")
+        .otherwise("float64")
     )
+
+
+def _typed(e: Column) -> Column:
+    """STRUCT<key, value, kind> of raw texts -> working field."""
+    value, kind = e["value"], e["kind"]
+    inner = F.substring(value, F.lit(2), F.length(value) - 2)
     return points.raw_field(
-        _unescape(key),
+        _unescape(e["key"]),
         kind,
-        number,
+        F.when(kind == "float64", value).when(
+            kind.isin("int64", "uint64"), F.substring(value, F.lit(1), F.length(value) - 1)),
         F.when(
-            is_string,
+            kind == "string",
             F.when(inner.contains("\\"), F.regexp_replace(inner, r'\\([\\"])', "$1")).otherwise(inner),
         ),
-        F.when(~is_string & is_bool, is_true),
+        F.when(kind == "boolean", F.lower(F.left(value, F.lit(1))) == "t"),
     )
 
 
@@ -127,7 +129,13 @@ def parse_line_protocol(df: DataFrame, raw: str = "raw", keep: list[str] | None
             F.when(good, F.col("_tag_keys")), F.col("_tag_values"),
             lambda k, v: F.struct(_unescape(k).alias("key"), _unescape(v).alias("value")),
         ).alias("tags"),
-        F.zip_with(F.when(good, F.col("_field_keys")), F.col("_field_values"), _typed).alias("fields"),
+        F.transform(
+            F.zip_with(
+                F.when(good, F.col("_field_keys")), F.col("_field_values"),
+                lambda k, v: F.struct(k.alias("key"), v.alias("value"), _kind(v).alias("kind")),
+            ),
+            _typed,
+        ).alias("fields"),
         F.when(good, time_text).try_cast("bigint").alias("time_ns"),
     )
     return points.assemble(points.evaluate_once(df), keep)

@@ -39,7 +39,7 @@ def _type(v: Column) -> Column:
 
 def _object(v: Column) -> Column:
     """VARIANT object -> MAP<STRING, VARIANT>; NULL for anything else."""
-    return F.when(F.startswith(_type(v), F.lit("OBJECT")), F.try_variant_get(v, "$", "map<string,variant>"))
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
 def _member(m: Column, name: str) -> Column:
@@ -59,20 +59,23 @@ def _only(m: Column, names: tuple[str, ...]) -> Column:
     return F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, names)))) == 0
 
 
-def _scalar_parts(v: Column) -> Column:
-    """VARIANT tagged scalar -> STRUCT<ok, kind, decimal, value>."""
-    m = _object(v)
-    decimal = _member(m, "decimalText")
-    kind = _string(_member(m, "kind"))
+def _members(m: Column) -> Column:
+    """Tagged scalar as a map -> STRUCT<known, kind, decimal, value>, still variants."""
     return F.struct(
-        F.coalesce(
-            m.isNotNull() & _only(m, SCALAR_MEMBERS) & (kind != "")
-            & (~_present(decimal) | (_type(decimal) == "STRING")),
-            F.lit(False),
-        ).alias("ok"),
+        F.coalesce(_only(m, SCALAR_MEMBERS), F.lit(False)).alias("known"),
+        _member(m, "kind").alias("kind"), _member(m, "decimalText").alias("decimal"), _member(m, "value").alias("value"),
+    )
+
+
+def _scalar_parts(p: Column) -> Column:
+    """_members -> STRUCT<ok, kind, decimal, value>."""
+    decimal = _string(p["decimal"])
+    kind = _string(p["kind"])
+    return F.struct(
+        F.coalesce(p["known"] & (kind != "") & (~_present(p["decimal"]) | decimal.isNotNull()), F.lit(False)).alias("ok"),
         kind.alias("kind"),
-        _string(decimal).alias("decimal"),
-        _member(m, "value").alias("value"),
+        decimal.alias("decimal"),
+        p["value"].alias("value"),
     )
 
 
@@ -117,14 +120,15 @@ def parse_typed_jsonl(
     )
     df = points.evaluate_once(df)
     df = df.withColumn("_tag_entries", F.map_entries(tags))
-    df = df.withColumn("_time", _scalar_parts(F.col("_timestamp")))
-    df = df.withColumn(
-        "_staged",
-        F.transform(
-            F.map_entries("_fields"),
-            lambda e: F.struct(e["key"].alias("key"), _scalar_parts(e["value"]).alias("s")),
-        ),
-    )
+    # Each step is an array of its own, so a member is looked up once and not once per use.
+    as_maps = F.transform(F.map_entries("_fields"), lambda e: F.struct(e["key"].alias("key"), _object(e["value"]).alias("m")))
+    as_members = F.transform(as_maps, lambda e: F.struct(e["key"].alias("key"), _members(e["m"]).alias("p")))
+    df = df.withColumn("_time_map", _object(F.col("_timestamp")))
+    df = points.evaluate_once(df.withColumns({
+        "_time_members": _members(F.col("_time_map")),
+        "_staged": F.transform(as_members, lambda e: F.struct(e["key"].alias("key"), _scalar_parts(e["p"]).alias("s"))),
+    }).drop("_time_map"))
+    df = df.withColumn("_time", _scalar_parts(F.col("_time_members"))).drop("_time_members")
     df = points.evaluate_once(df)
     if mapping is not None:
         folded = mapping.groupBy(F.col("measurement").alias("_m")).agg(
