@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Larger generated methods are never compiled by the JVM; run those operators unfused.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Call-site capture costs more than building the expression it describes.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # The last of several equal JSON keys counts, as in most JSON readers.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

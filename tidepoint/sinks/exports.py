@@ -68,7 +68,7 @@ def fragments(spark: SparkSession, slices: DataFrame, directory: str) -> DataFra
     )
 
 
-def _go_csv_field(c: Column, crlf: bool) -> Column:
+def _csv_field(c: Column, crlf: bool) -> Column:
     needs = (c == r"\.") | c.rlike(r'[",\r\n]') | c.rlike(SPACE_FIRST)
     body = F.replace(c, F.lit('"'), F.lit('""'))
     if crlf:
@@ -77,7 +77,7 @@ def _go_csv_field(c: Column, crlf: bool) -> Column:
 
 
 def csv_record(cells: list[Column], crlf: bool = False) -> Column:
-    return F.concat_ws(",", *[_go_csv_field(F.coalesce(c, F.lit("")), crlf) for c in cells])
+    return F.concat_ws(",", *[_csv_field(F.coalesce(c, F.lit("")), crlf) for c in cells])
 
 
 def write_exact_csv(df: DataFrame, directory: str) -> None:
