@@ -324,8 +324,8 @@ def assign_slices(spark, sf):
     "assign_irregular_slices",
     f"""
     WITH b AS (SELECT row_number() OVER (ORDER BY low) - 1 AS slice_ordinal, low, lead(low) OVER (ORDER BY low) AS high
-               FROM (SELECT DISTINCT epoch_us(date_trunc('day', ts)) * 1000 + user_id * {SECOND} AS low
-                     FROM events WHERE event_type = 'signup'))
+               FROM (SELECT DISTINCT epoch_us(date_trunc('hour', ts)) * 1000 + 1 AS low
+                     FROM events WHERE event_type = 'signup' AND value > 40))
     SELECT e.time_ns, e.event_type, b.slice_ordinal FROM {E} e JOIN b ON e.time_ns >= b.low AND e.time_ns < b.high
     """,
 )
@@ -333,10 +333,10 @@ def assign_irregular_slices(spark, sf):
     from pyspark.sql import Window
 
     w = events(spark, sf)
-    day = F.lit(DAY).cast("bigint")
-    # Slice borders are a small list by nature (at most a million per plan), so one ordered pass is fine.
-    lows = w.where(F.col("event_type") == "signup").select(
-        (F.col("time_ns") - F.pmod("time_ns", day) + F.col("user_id") * SECOND).alias("start_ns")
+    hour = F.lit(HOUR).cast("bigint")
+    # One border per hour at most, so one ordered pass over the borders is fine.
+    lows = w.where((F.col("event_type") == "signup") & (F.col("value") > 40)).select(
+        (F.col("time_ns") - F.pmod("time_ns", hour) + 1).alias("start_ns")
     ).distinct()
     order = Window.orderBy("start_ns")
     bounds = lows.select(

@@ -73,7 +73,7 @@ def project(df: DataFrame, columns: list[str], aliases: dict[str, str] | None =
     return df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(aliases.get(c, c)) for c in columns])
 
 
-def select_all_by_series(df: DataFrame, series: Column, width: str | int = "1d") -> DataFrame:
+def select_all_by_series(df: DataFrame, series: Column) -> DataFrame:
     """Rows laid out series by series, each in time order.
 
     Rows are range-partitioned on (series, time), so a series larger than a task's share
