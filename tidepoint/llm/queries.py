@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepoint.llm import decontaminate, line_quality, secret_ledger  # noqa: F401
+from tidepoint.llm import decontaminate, line_quality, mixing, ring, secret_ledger, warc  # noqa: F401
 from tidepoint.llm.catalog import ORACLES, QUERIES
 
 
