@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidepoint.llm import decontaminate, line_quality, mixing, ring, secret_ledger, warc  # noqa: F401
+from tidepoint.llm import (  # noqa: F401
+    decontaminate, line_quality, mixing, near_dedup, ring, secret_ledger, token_rollup, warc,
+)
 from tidepoint.llm.catalog import ORACLES, QUERIES
 
 
