@@ -90,7 +90,7 @@ def signature(values: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (null: no words), sig."""
+    """doc_id, row_a, row_b, n_shingles, set_key (null: no words), sig; row_a and row_b name the row by its content."""
     def run(batches):
         for batch in batches:
             n, keys, sigs = [], [], []
@@ -99,10 +99,14 @@ def sketches(docs: DataFrame) -> DataFrame:
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "sig"])
+                [*(batch.column(c) for c in ("doc_id", "row_a", "row_b")), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
+                 pa.array(sigs, pa.binary())], ["doc_id", "row_a", "row_b", "n_shingles", "set_key", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return docs.mapInArrow(run, "doc_id long, row_a long, row_b int, n_shingles long, set_key binary, sig binary")
+
+
+def _row_names() -> dict:
+    return {"row_a": F.xxhash64("doc_id", "text"), "row_b": F.hash("doc_id", "text")}
 
 
 def _buckets(rows: DataFrame, level: int) -> DataFrame:
@@ -218,8 +222,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of `docs`."""
-    docs = fresh(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    """doc_id, row_a, row_b, n_shingles, component_id, kept of every row of `docs`."""
+    docs = fresh(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumns(_row_names())
     sketch = stored(sketches(docs), "near-sketches")
     classes = stored(sketch.where("set_key is not null").groupBy("set_key").agg(
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n_shingles", "sig"))).alias("s")
@@ -242,12 +246,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named = stored(components(links.union(more)), "near-components")
     known = classes.select("set_key", "id").join(named, "id", "left").select(
         "set_key", F.coalesce("component", "id").alias("component"))
-    return sketch.select("doc_id", "n_shingles", "set_key").join(known, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
+    return sketch.drop("sig").join(known, "set_key", "left").select(
+        "doc_id", "row_a", "row_b", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"),
     )
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """`docs` with one document of each component, repeated rows once."""
+    kept = near_duplicates(docs).where("kept").select(F.col("row_a").alias("_a"), F.col("row_b").alias("_b"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    ids = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    once = ids.select(F.struct(*columns).alias("_row"), *[f.alias(n) for n, f in zip(("_a", "_b"), _row_names().values())])
+    # Repeats meet before the shuffle, so a row repeated without end is no burden.
+    once = once.groupBy("_a", "_b").agg(F.first("_row").alias("_row")).join(kept, ["_a", "_b"], "left_semi")
+    return once.select(*[F.col("_row")[c].cast(t).alias(c) for c, t in docs.dtypes])
+
+
 @query("op5_near_dedup")
 def near_dedup(spark, sf):
-    return near_duplicates(table(spark, sf, "documents"))
+    return near_duplicates(table(spark, sf, "documents")).drop("row_a", "row_b")

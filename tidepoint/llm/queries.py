@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidepoint.llm import (  # noqa: F401
-    decontaminate, line_quality, mixing, near_dedup, ring, secret_ledger, token_rollup, warc,
+    decontaminate, line_dedup, line_quality, mixing, near_dedup, passages, ring, secret_ledger, token_rollup, warc,
 )
 from tidepoint.llm.catalog import ORACLES, QUERIES
 
 
 def all_queries() -> dict:
-    return dict(QUERIES)
+    return {**QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def all_oracles() -> dict:
-    return dict(ORACLES)
+    return {**ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
