@@ -2,7 +2,7 @@
 
 Every line is judged alone, in this order of cost:
   navigation   link rows: separators between most words, or under `short_words` words without an end mark
-  punctuation  more than `max_punctuation` of its word characters are ASCII punctuation
+  punctuation  more than `max_punctuation` of its word characters are ASCII punctuation, one end mark aside
   boilerplate  it holds a phrase of BOILERPLATE (licence, rights and site notices)
 A document goes when its base figures fail (fewer than 50 words, or most words in repeated
 three-word windows) or when the failing lines held more than `max_lost` of its word characters.
@@ -53,7 +53,7 @@ def line_fails(line, short_words: int = 5, max_separators: float = 0.2, max_punc
     navigation = (F.regexp_count(line, F.lit(SEPARATOR)) > words * max_separators) | (
         (words < short_words) & ~line.rlike(END_MARK)
     )
-    return (words > 0) & (navigation | (marks > chars * max_punctuation) | F.lower(line).rlike(BOILERPLATE_PATTERN))
+    return (words > 0) & (navigation | (marks - 1 > chars * max_punctuation) | F.lower(line).rlike(BOILERPLATE_PATTERN))
 
 
 FIGURES = (
@@ -139,7 +139,7 @@ WITH d AS (
     FROM l
 ), v AS (
     SELECT *, n > 0 AND (s > n * 0.2 OR (n < 5 AND NOT regexp_matches(line, '{END_MARK.replace("'", "''")}'))
-                         OR p > c * 0.2 OR regexp_matches(lower(line), '{BOILERPLATE_PATTERN}')) AS bad
+                         OR p - 1 > c * 0.2 OR regexp_matches(lower(line), '{BOILERPLATE_PATTERN}')) AS bad
     FROM m
 ), g AS (
     SELECT r, count(*) FILTER (bad) AS n_bad_lines, coalesce(sum(c) FILTER (NOT bad), 0) AS clean_chars,
