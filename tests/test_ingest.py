@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tidepoint.functions.numbers import _shortest
 from tidepoint.model import MAX_POINT_BYTES, RejectedInput
 from tidepoint.operators import aggregate
-from tidepoint.sources import artifacts, line_protocol, mapped_csv, typed_jsonl
+from tidepoint.sources import artifacts, line_protocol, lines, mapped_csv, typed_jsonl
 
+BREAKS = ("\n", "\r", "\x85", "\u2028")
 LINES = [
     (r"cpu\ load,z=last,a=first value=09007199254740993i,ok=T 01720000000000000001",
      r"cpu\ load,a=first,z=last ok=true,value=9007199254740993i 1720000000000000001", None),
@@ -50,6 +51,9 @@ LINES = [
     ("m v=yes 1", None, "INVALID_INPUT"),
     ("m,ä=ü v=\"ß\" 1", "m,ä=ü v=\"ß\" 1", None),
     ("m v=\"a\rb\" 1", None, "INVALID_INPUT"),
+    # A line break of any kind is no part of a number.
+    *((f"m v=1.5{b} 1", None, "INVALID_INPUT") for b in BREAKS), *((f"m v=1i{b} 1", None, "INVALID_INPUT") for b in BREAKS),
+    *((f"m v=1u{b} 1", None, "INVALID_INPUT") for b in BREAKS), *((f"m v=1i 1{b}", None, "INVALID_INPUT") for b in BREAKS),
 ]
 
 
@@ -86,6 +90,7 @@ def test_line_numbers_across_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
     try:
         good, bad = line_protocol.read_line_protocol(spark, str(tmp_path))
+        good = lines.with_line_numbers(good, lines.read_lines(spark, str(tmp_path)))
         rows, rejects = good.collect(), bad.collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -158,6 +163,8 @@ JSONL = [
     (jsonl(measurement=""), None, "INVALID_INPUT"),
     (jsonl(extra=1), None, "INVALID_INPUT"),
     (jsonl(tags={"t": ""}), None, "INVALID_INPUT"),
+    *((jsonl(fields={"v": {"kind": k, "decimalText": f"1{b}"}}), None, "INVALID_INPUT") for b in BREAKS for k in ("int64", "uint64", "float64")),
+    *((jsonl(timestamp={"kind": "timestamp_ns", "decimalText": f"1{b}"}), None, "INVALID_INPUT") for b in BREAKS),
     (jsonl(tags={"t": 1}), None, "INVALID_INPUT"),
     (jsonl(tags={"v": "x"}), None, "INVALID_INPUT"),
     (jsonl(tags=...), "m v=1i 1", None),
@@ -175,6 +182,7 @@ JSONL = [
 def test_typed_jsonl_goldens(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("\n".join(l for l, _, _ in JSONL) + "\n\n")
     good, bad = typed_jsonl.read_typed_jsonl(spark, str(tmp_path), [("m", "known", "float64")])
+    good = lines.with_line_numbers(good, lines.read_lines(spark, str(tmp_path)))
     got = {r["line_no"]: (r["canonical_lp"], None) for r in good.collect()}
     got.update({r["line_no"]: (None, r["code"]) for r in bad.collect()})
     assert got == {i + 1: (lp, code) for i, (_, lp, code) in enumerate(JSONL)}
@@ -205,7 +213,7 @@ cpu,1,a,1,1,1,
 def test_mapped_csv_file(spark, tmp_path):
     (tmp_path / "a.csv").write_text(CSV)
     good, bad = mapped_csv.read_mapped_csv(spark, str(tmp_path), MAPPING)
-    assert {r["line_no"]: r["canonical_lp"] for r in good.collect()} == {
+    assert {r["row_id"] + 1: r["canonical_lp"] for r in good.collect()} == {
         1: r'cpu\ load,host\ name=east\,1 count=9007199254740993i,max=18446744073709551615u,note="hello, \"quoted\"",ratio=-0 1720000000000000001',
         6: r'cpu,host\ name=a count=1i,max=1u,note="",ratio=1 1',
     }

@@ -9,14 +9,15 @@ LOG = "log_id string, schema_version int, seq string, kind string, resource_id s
 
 
 def test_ingest_restart_keeps_one_copy(spark, tmp_path):
-    source, out, bad, state = (str(tmp_path / n) for n in ("in", "points", "rejects", "state"))
+    source, out, state = (str(tmp_path / n) for n in ("in", "table", "state"))
     (tmp_path / "in").mkdir()
     for turn in range(2):
-        (tmp_path / "in" / f"f{turn}.lp").write_text("".join(f"m v={i}i {i}\n" for i in range(turn * 10, turn * 10 + 10)) + "broken\n# note\n\n")
-        ingest.stream_ingest(spark, source, out, bad, state).awaitTermination()
-    ingest.stream_ingest(spark, source, out, bad, state).awaitTermination()
-    assert sorted(r[0] for r in spark.read.parquet(out).select("time_ns").collect()) == list(range(20))
-    assert [r["code"] for r in spark.read.parquet(bad).collect()] == ["TIMESTAMP_REQUIRED"] * 2
+        (tmp_path / "in" / f"f{turn}.lp").write_text("".join(f"m v={i}i {i}\n" for i in range(turn * 10, turn * 10 + 10)) + "broken" * 2000 + "\n# note\n\n")
+        ingest.stream_ingest(spark, source, out, state).awaitTermination()
+    ingest.stream_ingest(spark, source, out, state).awaitTermination()
+    points, rejects = ingest.ingested(spark, out)
+    assert sorted(r[0] for r in points.select("time_ns").collect()) == list(range(20))
+    assert [(r["code"], r["raw"]) for r in rejects.collect()] == [("TIMESTAMP_REQUIRED", "broken" * 2000)] * 2
 
 
 def run_tasks(spark, tmp_path, **kw):
@@ -27,7 +28,7 @@ def run_tasks(spark, tmp_path, **kw):
 
 
 def write_events(spark, tmp_path, seqs, valid=1):
-    rows = [("a", valid, str(s), "IMPORT", f"r{s % 2}", str(s), f"S{s}") for s in seqs]
+    rows = [("a", valid, str(s), "IMPORT", f"r{int(s) % 2}", str(s), f"S{s}") for s in seqs]
     spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
 
 
@@ -41,12 +42,29 @@ def test_task_state_waits_for_gaps(spark, tmp_path):
     assert {b for b in both if b[0] == "APPLY"} == {("APPLY", "1", "S1"), ("APPLY", "2", "S2"), ("APPLY", "4", "S4"), ("APPLY", "5", "S5")}
 
 
-def test_task_state_resyncs(spark, tmp_path):
-    write_events(spark, tmp_path, [1, 3, 4, 5])
-    got = {(r["action"], r["seq"]) for r in run_tasks(spark, tmp_path, max_pending=2)}
-    assert got == {("APPLY", "1"), ("RESYNC", "5")}
-    write_events(spark, tmp_path, [6])
-    assert ("APPLY", "6") in {(r["action"], r["seq"]) for r in run_tasks(spark, tmp_path, max_pending=2)}
+def test_task_state_keeps_all_that_waits(spark, tmp_path):
+    write_events(spark, tmp_path, [1, *range(3, 1503)])
+    got = {(r["action"], r["seq"]) for r in run_tasks(spark, tmp_path)}
+    assert got == {("APPLY", "1"), ("GAP", "2")}
+    write_events(spark, tmp_path, [2])
+    rows = {(r["action"], r["seq"], r["state"]) for r in run_tasks(spark, tmp_path)}
+    assert {("APPLY", "1502", "S1502"), ("APPLY", "1501", "S1501")} <= rows
+
+
+def test_task_state_names_invalid_events(spark, tmp_path):
+    write_events(spark, tmp_path, [1, 3])
+    write_events(spark, tmp_path, ["02", 2], valid=1)
+    write_events(spark, tmp_path, [9], valid=2)
+    got = {(r["action"], r["seq"]) for r in run_tasks(spark, tmp_path)}
+    assert {("INVALID", "02"), ("INVALID", "9")} <= got and {s for a, s in got if a == "APPLY"} == {"1", "2", "3"}
+
+
+def test_task_state_starts_anew_at_a_head(spark, tmp_path):
+    write_events(spark, tmp_path, [1, 3, 5, 7, 8])
+    rows = [("a", 1, "6", task_state.HEAD, "-", "0", None)]
+    spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    got = [(r["action"], r["seq"]) for r in run_tasks(spark, tmp_path)]
+    assert ("HEAD", "6") in got and ("APPLY", "8") in got and not any(a == "GAP" for a, _ in got)
 
 
 def test_downsample_equals_batch(spark, tmp_path):

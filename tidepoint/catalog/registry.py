@@ -78,8 +78,12 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """New folder that all executors see; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """New folder that all executors see: below spark.checkpoint.dir, which a cluster must name."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None or (root.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local")):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = root or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepoint.catalog.registry import (
-    DAY, E, EVENTS, JOB, events, event_points, length_prefixed, num, orders, query, series_sql, table,
+    DAY, E, EVENTS, JOB, events, event_points, length_prefixed, num, orders, query, series_sql, shared_dir, table,
 )
 from tidepoint.functions import identity, numbers, points, text
 from tidepoint.operators import aggregate, chart, results, schema, select
@@ -126,11 +127,21 @@ def truncate_verdict(spark, sf):
 
 @query(
     "sort_result",
-    "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 1000",
+    "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) - 1 AS position FROM orders",
 )
 def sort_result(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("key"), "o_custkey")
-    return results.sort_result(df, "key", "int64", descending=True, ties=["o_orderkey"]).select("o_orderkey", "o_custkey").limit(1000)
+    ordered = results.sort_result(df, "key", "int64", descending=True, ties=["o_orderkey"]).select("o_orderkey", "o_custkey")
+    # The sorted rows are stored in order; a row's place is that of its partition plus its place in it.
+    path = shared_dir(spark, "sorted")
+    ordered.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")).select(
+        "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    # One row for each partition of the sort.
+    return rows.join(F.broadcast(counts), "_part").select(
+        "o_orderkey", "o_custkey", (F.col("_base") + F.col("_at") - F.col("_first")).alias("position"))
 
 
 CHART = [("time", "timestamp_ns"), ("user_id", "int64")]

@@ -15,8 +15,8 @@ from tidepoint.streaming import downsample, ingest, task_state
 def stream_ingest(spark, sf):
     root = shared_dir(spark, "ingest")
     event_points(spark, sf).select("canonical_lp").write.text(root + "/in")
-    ingest.stream_ingest(spark, root + "/in", root + "/points", root + "/rejects", root + "/state").awaitTermination()
-    p = spark.read.parquet(root + "/points")
+    ingest.stream_ingest(spark, root + "/in", root + "/table", root + "/state").awaitTermination()
+    p, _ = ingest.ingested(spark, root + "/table")
     return p.groupBy(F.try_element_at("tags", F.lit("event_type")).alias("event_type")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.try_element_at("fields", F.lit("user_id"))["decimal_text"].cast("bigint")).alias("users"),
@@ -27,20 +27,18 @@ def stream_ingest(spark, sf):
     "continuous_downsample",
     f"""
     SELECT time_ns - time_ns % {HOUR} AS bucket_ns, event_type, round(avg(value), 6) AS mean_value, count(value) AS n
-    FROM {E} WHERE time_ns - time_ns % {HOUR} + {HOUR} <=
-      (SELECT max(time_ns) // 1000000 * 1000000 - {HOUR} FROM {E})
-    GROUP BY 1, 2
+    FROM {E} GROUP BY 1, 2
     """,
 )
 def continuous_downsample(spark, sf):
     root = shared_dir(spark, "downsample")
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    out = downsample.continuous_downsample(
-        stream, "1h", [("mean", "value", "mean_value"), ("count", "value", "n")], ["event_type"], "1 hour", "ts"
-    )
+    form = ("1h", [("mean", "value", "mean_value"), ("count", "value", "n")], ["event_type"])
+    out = downsample.continuous_downsample(stream, *form, "1 hour", "ts")
     downsample.write_downsample(out, root + "/out", root + "/state").awaitTermination()
-    return rounded(spark.read.parquet(root + "/out"), "mean_value")
+    closed = spark.read.parquet(root + "/out")
+    return rounded(closed.unionByName(downsample.open_windows(table(spark, sf, "events"), closed, *form, "ts")), "mean_value")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

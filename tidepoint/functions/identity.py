@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidepoint.functions.text import standard_json
+
 # Fixed value: the RFC 4122 namespace for OIDs.
 OID_NAMESPACE = "6ba7b8129dad11d180b400c04fd430c8"
 
@@ -52,12 +54,13 @@ def struct_digest(*columns: Column) -> Column:
 
     The digested text spells the characters < > & as JSON escapes.
     """
-    text = F.to_json(F.struct(*columns))
+    text = standard_json(F.to_json(F.struct(*columns)))
     for plain, escaped in (("<", r"\u003c"), (">", r"\u003e"), ("&", r"\u0026")):
         text = F.replace(text, F.lit(plain), F.lit(escaped))
     return F.sha2(text, 256)
 
 
+# The wire order of a checkpoint's members.
 CHECKPOINT_KEYS = [
     # column, JSON key, leave out when empty
     ("sequence", "sequence", False),

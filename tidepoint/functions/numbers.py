@@ -2,6 +2,7 @@
 
 A regular expression guards every cast, because Spark's own casts accept spaces,
 type suffixes and non-finite words. NULL means 'not a number of this type'.
+Patterns end in \\z: `$` would let a final line break through.
 """
 
 from __future__ import annotations
@@ -15,18 +16,18 @@ from tidepoint.model import UINT64_MAX
 
 _DIGITS = r"[0-9](?:_?[0-9])*+"
 _HEX = r"[0-9a-fA-F](?:_?[0-9a-fA-F])*+"
-DECIMAL_FLOAT = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-HEX_FLOAT = rf"^[+-]?0[xX](?:_?{_HEX}(?:\.(?:{_HEX})?)?|\.{_HEX})[pP][+-]?{_DIGITS}$"
+DECIMAL_FLOAT = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\z"
+HEX_FLOAT = rf"^[+-]?0[xX](?:_?{_HEX}(?:\.(?:{_HEX})?)?|\.{_HEX})[pP][+-]?{_DIGITS}\z"
 # Text that already is its own canonical form: at most 15 significant digits, so it is
 # the shortest text of its double, and no exponent is due.
 PLAIN_FLOAT = (
-    r"^-?(?:0|[1-9][0-9]{0,5}(?:\.[0-9]{0,8}[1-9])?|0\.(?!0000)[0-9]{0,13}[1-9])$"
+    r"^-?(?:0|[1-9][0-9]{0,5}(?:\.[0-9]{0,8}[1-9])?|0\.(?!0000)[0-9]{0,13}[1-9])\z"
 )
 
 
 def canonical_int64(c: Column) -> Column:
     """Base-10 signed 64-bit text -> canonical text."""
-    return F.when(c.rlike(r"^[+-]?[0-9]+$"), c.try_cast("bigint").cast("string"))
+    return F.when(c.rlike(r"^[+-]?[0-9]+\z"), c.try_cast("bigint").cast("string"))
 
 
 def canonical_uint64(c: Column) -> Column:
@@ -34,7 +35,7 @@ def canonical_uint64(c: Column) -> Column:
     digits = F.regexp_replace(c, r"^0+(?=[0-9])", "")
     number = F.when(F.length(digits) <= 20, digits.try_cast("decimal(20,0)"))
     return F.when(
-        c.rlike(r"^[0-9]+$") & (number <= F.lit(str(UINT64_MAX)).cast("decimal(20,0)")), digits
+        c.rlike(r"^[0-9]+\z") & (number <= F.lit(str(UINT64_MAX)).cast("decimal(20,0)")), digits
     )
 
 
@@ -110,7 +111,7 @@ def decimal_order(seq: Column) -> tuple[Column, Column]:
 
 
 def is_canonical_decimal(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^(?:0|[1-9][0-9]*)$"), F.lit(False))
+    return F.coalesce(c.rlike(r"^(?:0|[1-9][0-9]*)\z"), F.lit(False))
 
 
 def increment_decimal(c: Column) -> Column:

@@ -40,6 +40,16 @@ def valid_name(c: Column) -> Column:
     return c.isNotNull() & (c != "") & F.is_valid_utf8(c) & ~has_control(c)
 
 
+def standard_json(c: Column) -> Column:
+    """JSON text with its escapes spelled as standard encoders do: lower-case hex, and line separators escaped."""
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        # An even number of backslashes before it is text, not part of the escape.
+        c = F.regexp_replace(c, rf"(?<!\\)((?:\\\\)*+)\\u{code:04X}", rf"$1\\u{code:04x}")
+    for plain, escaped in (("\N{LINE SEPARATOR}", "\\u2028"), ("\N{PARAGRAPH SEPARATOR}", "\\u2029")):
+        c = F.replace(c, F.lit(plain), F.lit(escaped))
+    return c
+
+
 def neutralise_formula(c: Column) -> Column:
     """Apostrophe before text that a spreadsheet would run as a formula."""
     return F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)
@@ -68,5 +78,5 @@ def _floor_seconds(time_ns: Column) -> Column:
 
 def format_time_text(decimal_text: Column, offset_minutes: int = 0) -> Column:
     """As format_time_ns for decimal text; text that is no 64-bit number comes back unchanged."""
-    number = F.when(decimal_text.rlike(r"^-?[0-9]+$"), decimal_text.try_cast("bigint"))
+    number = F.when(decimal_text.rlike(r"^-?[0-9]+\z"), decimal_text.try_cast("bigint"))
     return F.coalesce(format_time_ns(number, offset_minutes), decimal_text)

@@ -10,7 +10,7 @@ from tidepoint.model import (
 )
 
 WIDE = "decimal(38,0)"
-NUMBER_TEXT = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+NUMBER_TEXT = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 
 
 def choose_axes(columns: list[tuple[str, str]]) -> tuple[tuple[str, str] | None, tuple[str, str] | None]:
@@ -28,11 +28,11 @@ def _parsed(c: Column, kind: str) -> Column:
     """Decimal text -> number; NULL when the text does not fit the kind."""
     if kind == "uint64":
         n = c.try_cast(WIDE)
-        return F.when(c.rlike(r"^(?:0|[1-9][0-9]*)$") & (n <= F.lit(str(UINT64_MAX)).cast(WIDE)), n)
+        return F.when(c.rlike(r"^(?:0|[1-9][0-9]*)\z") & (n <= F.lit(str(UINT64_MAX)).cast(WIDE)), n)
     if kind in EXACT_KINDS:
         n = c.try_cast(WIDE)
         low, high = F.lit(str(INT64_MIN)).cast(WIDE), F.lit(str(INT64_MAX)).cast(WIDE)
-        return F.when(c.rlike(r"^(?:0|-?[1-9][0-9]*)$") & (n >= low) & (n <= high), n)
+        return F.when(c.rlike(r"^(?:0|-?[1-9][0-9]*)\z") & (n >= low) & (n <= high), n)
     n = F.when(c.rlike(NUMBER_TEXT), c.try_cast("double"))
     return F.when(F.abs(n) <= F.lit(1.7976931348623157e308), n)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepoint.functions.joins import bounded_broadcast
 from tidepoint.model import SCHEMA_DRIFT, TAG_FIELD_CONFLICT, UNKNOWN_FIELD, UNKNOWN_TAG
 
 
@@ -38,10 +39,11 @@ def infer_schema(points: DataFrame) -> DataFrame:
 
 def folded_schema(schema: DataFrame) -> DataFrame:
     """(measurement, name, role, kind) -> one row per measurement with its tag set and field map."""
+    roles = F.split("role", r"\|")  # a name used both ways carries both
     return schema.groupBy("measurement").agg(
-        F.collect_set(F.when(F.col("role") == "tag", F.col("name"))).alias("_tag_names"),
+        F.collect_set(F.when(F.array_contains(roles, "tag"), F.col("name"))).alias("_tag_names"),
         F.map_from_entries(
-            F.collect_list(F.when(F.col("role") == "field", F.struct("name", "kind")))
+            F.collect_list(F.when(F.array_contains(roles, "field"), F.struct("name", "kind")))
         ).alias("_field_kinds"),
     )
 
@@ -51,7 +53,7 @@ def validate_points(points: DataFrame, schema: DataFrame, start_ns: int, end_ns:
 
     Only the schema moves, folded to one row per measurement; points are checked in place.
     """
-    joined = points.join(folded_schema(schema), "measurement", "left")
+    joined = points.join(bounded_broadcast(folded_schema(schema), schema), "measurement", "left")
     tag_names, kinds = F.col("_tag_names"), F.col("_field_kinds")
     live = F.filter(F.map_entries("fields"), lambda e: e["value"].isNotNull() & (e["value"]["kind"] != "null"))
     no_names = F.array().cast("array<string>")

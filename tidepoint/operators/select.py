@@ -107,10 +107,14 @@ def search_schema(schema: DataFrame, needle: str) -> DataFrame:
     return schema.where(hit | db_hit).withColumn("match", F.when(hit, "measurement").otherwise("database"))
 
 
+# Fixed value: longest list of jobs.
+MAX_JOBS = 500
+
+
 def list_recoverable_jobs(jobs: DataFrame, profile_id: str | None = None, limit: int = 100) -> DataFrame:
     """Retained jobs in an open state, newest first."""
-    if limit <= 0 or limit > 500:
-        limit = 100
+    if not 0 < limit <= MAX_JOBS:
+        raise ValueError(f"a list holds 1 to {MAX_JOBS} jobs, not {limit}")
     picked = jobs.where(F.col("retained") & F.col("state").isin(*OPEN_STATES))
     if profile_id:
         picked = picked.where(F.col("profile_id") == profile_id)

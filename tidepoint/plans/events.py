@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepoint.functions import identity, numbers
 
+# Fixed value: longest page of events.
 MAX_EVENTS = 1000
 
 
@@ -14,8 +15,8 @@ def read_task_events(events: DataFrame, after: str, limit: int = MAX_EVENTS) ->
     """The next events after a sequence number, at most 1000, in order (a top-k, not a full sort)."""
     if not after.isdigit() or (len(after) > 1 and after[0] == "0"):
         raise ValueError("not a canonical decimal")
-    if limit <= 0 or limit > MAX_EVENTS:
-        limit = MAX_EVENTS
+    if not 0 < limit <= MAX_EVENTS:
+        raise ValueError(f"a page holds 1 to {MAX_EVENTS} events, not {limit}")
     later = numbers.compare_decimal(F.col("seq"), F.lit(after)) > 0
     return events.where(later).orderBy(*numbers.decimal_order(F.col("seq"))).limit(limit)
 

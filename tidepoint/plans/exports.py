@@ -48,7 +48,7 @@ def verify_manifest(manifest: DataFrame, slices: DataFrame, spec: dict, query_di
         F.when(~m("typePreserving").eqNullSafe(True), "typePreserving"),
         F.when(~m("lossy").eqNullSafe(False), "lossy"),
     ))).alias("problem")).select(F.lit(None).cast("bigint").alias("position"), "problem")
-    unsigned = r"^(?:0|[1-9][0-9]*)$"
+    unsigned = r"^(?:0|[1-9][0-9]*)\z"
     s = slices.select(
         F.col("ordinal").alias("position"), F.col("file").alias("p_file"),
         F.col("start_ns").cast("string").alias("p_start"), F.col("end_ns").cast("string").alias("p_end"),
@@ -58,7 +58,7 @@ def verify_manifest(manifest: DataFrame, slices: DataFrame, spec: dict, query_di
         F.when(F.col("p_file").isNull(), "unplanned").when(F.col("file").isNull(), "missing"),
         F.when(F.col("file") != F.col("p_file"), "file"),
         F.when((F.col("startNs") != F.col("p_start")) | (F.col("endNs") != F.col("p_end")), "range"),
-        F.when(~F.col("sha256").rlike("^[0-9a-f]{64}$"), "sha256"),
+        F.when(~F.col("sha256").rlike(r"^[0-9a-f]{64}\z"), "sha256"),
         F.when(~F.col("compressedSize").rlike(unsigned) | ~F.col("uncompressedSize").rlike(unsigned)
                | ~F.coalesce("pointCount", F.lit("0")).rlike(unsigned), "size"),
     ))).alias("problem"))

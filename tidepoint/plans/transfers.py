@@ -36,42 +36,38 @@ _BODY = T.StructType([
 ])
 
 
-def _inspect(body) -> tuple[bool, bool, bool]:
-    """(valid, partial, has_error) of a reply body: an empty body is valid, else one JSON object."""
-    if body is None or len(body) == 0:
-        return True, False, False
+def _body_verdict(body: str) -> tuple[bool, bool, bool]:
+    """(valid, partial, has_error) of one reply body.
+
+    The parser reports every object, at any depth, so the two members of interest are
+    gathered while it reads; the verdict is then a statement about the two lists.
+    """
+    found: dict[str, list] = {"partial": [], "error": []}
+
+    def gather(pairs):
+        for name, value in pairs:
+            found.get(name.lower(), []).append(value)
+        return gather  # stands for "an object"
+
     try:
-        root = json.loads(body, parse_constant=lambda _: 1 / 0)
-    except (ValueError, ArithmeticError, RecursionError):
+        root = json.loads(body, object_pairs_hook=gather, parse_constant=int)
+    except (ValueError, RecursionError):
         return False, False, False
-    if not isinstance(root, dict):
-        return False, False, False
-    valid, partial, has_error = True, False, False
-    pending = [root]
-    while pending:
-        node = pending.pop()
-        if isinstance(node, list):
-            pending.extend(node)
-            continue
-        if not isinstance(node, dict):
-            continue
-        for key, child in node.items():
-            name = key.lower()
-            if name == "partial":
-                valid &= isinstance(child, bool)
-                partial |= child is True
-            elif name == "error" and child is not None:
-                is_text = isinstance(child, str)
-                valid &= is_text
-                has_error |= is_text
-                partial |= is_text and "partial write" in child.lower()
-            pending.append(child)
-    return valid, partial, has_error
+    errors = [e for e in found["error"] if e is not None]
+    texts = [e for e in errors if isinstance(e, str)]
+    valid = root is gather and len(texts) == len(errors) and all(isinstance(p, bool) for p in found["partial"])
+    partial = any(p is True for p in found["partial"]) or any("partial write" in e.lower() for e in texts)
+    return valid, partial and root is gather, bool(texts) and root is gather
 
 
 @F.pandas_udf(_BODY)
-def inspect_body(bodies: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_inspect(b) for b in bodies], columns=["valid", "partial", "has_error"])
+def _body_verdicts(bodies: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_body_verdict(b) if b else (True, False, False) for b in bodies], columns=["valid", "partial", "has_error"])
+
+
+def inspect_body(body: Column) -> Column:
+    """Verdict of reply bodies; empty ones, the usual reply, never reach Python as text."""
+    return _body_verdicts(F.when(F.octet_length(body) > 0, body))
 
 
 def classify_write_responses(responses: DataFrame, success: tuple[int, ...] = ()) -> DataFrame:
@@ -320,24 +316,25 @@ def admit_once(requests: DataFrame, ledger: DataFrame) -> DataFrame:
     """requests(scope, request_digest, resource_id, arrival) against ledger(scope, request_digest,
     resource_id): decision NEW, REPLAY or CONFLICT, with the resource that the scope belongs to.
 
-    The first request of a scope is found by a map-side minimum, so a scope that is retried
+    The first request of a scope (by arrival, then resource) is found by a map-side minimum, so a scope that is retried
     very often costs one row per task.
     """
     stored = ledger.select(
         "scope", F.col("request_digest").alias("l_digest"), F.col("resource_id").alias("l_resource")
     )
     firsts = requests.groupBy("scope").agg(
-        F.min_by(F.struct("arrival", "request_digest", "resource_id"), F.col("arrival")).alias("first")
+        F.min(F.struct("arrival", "resource_id", "request_digest")).alias("first")
     )
     owners = firsts.join(stored, "scope", "left").select(
         "scope",
         F.coalesce("l_digest", "first.request_digest").alias("o_digest"),
         F.coalesce("l_resource", "first.resource_id").alias("o_resource"),
-        F.when(F.col("l_digest").isNull(), F.col("first.arrival")).alias("o_arrival"),
+        F.when(F.col("l_digest").isNull(), F.col("first")).alias("o_first"),
     )
     return requests.join(owners, "scope").select(
         *requests.columns,
-        F.when(F.col("arrival").eqNullSafe(F.col("o_arrival")), "NEW")
+        F.when(
+            F.struct("arrival", "resource_id", "request_digest").eqNullSafe(F.col("o_first")), "NEW")
         .when(F.col("request_digest") == F.col("o_digest"), "REPLAY")
         .otherwise("CONFLICT").alias("decision"),
         F.when(F.col("request_digest") == F.col("o_digest"), F.col("o_resource")).alias("owner_id"),

@@ -81,12 +81,12 @@ def csv_record(cells: list[Column], crlf: bool = False) -> Column:
 
 
 def write_exact_csv(df: DataFrame, directory: str) -> None:
-    """Every cell as its exact text (NULL -> empty), header in each part file."""
-    cells = [
-        F.col(f"`{f.name}`").cast("string").alias(f.name) for f in df.schema.fields
-    ]
-    df.select(*cells).write.mode("errorifexists").option("header", True).option("nullValue", "").option(
-        "emptyValue", "").option("escape", '"').csv(directory)
+    """Every cell as its exact text (NULL -> empty). Part files in name order form one document with one header."""
+    names = [F.lit(f.name) for f in df.schema.fields]
+    header = df.sparkSession.range(1).select(csv_record(names).alias("value"))
+    body = df.select(csv_record([F.col(f"`{f.name}`").cast("string") for f in df.schema.fields]).alias("value"))
+    # A union keeps the order of its parts, so the header's task comes first.
+    header.unionByName(body).write.mode("errorifexists").text(directory)
 
 
 def result_csv_record(cells: Column, width: int, offset_minutes: int) -> Column:
@@ -135,10 +135,7 @@ def write_result_csv(
 def _json_text(c: Column) -> Column:
     """JSON string literal of a text column."""
     wrapped = F.to_json(F.array(c))
-    quoted = F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
-    for plain, escaped in (("\N{LINE SEPARATOR}", "\\u2028"), ("\N{PARAGRAPH SEPARATOR}", "\\u2029")):
-        quoted = F.replace(quoted, F.lit(plain), F.lit(escaped))
-    return quoted
+    return text.standard_json(F.substring(wrapped, F.lit(2), F.length(wrapped) - 2))
 
 
 def json_scalar(cell: Column) -> Column:

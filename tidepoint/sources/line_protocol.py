@@ -141,11 +141,14 @@ def parse_line_protocol(df: DataFrame, raw: str = "raw", keep: list[str] | None
     return points.assemble(points.evaluate_once(df), keep)
 
 
-def split_rejects(parsed: DataFrame, fail_on_reject: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(points, rejects) of a parsed table that carries source_file, line_no, raw and code."""
+def split_rejects(parsed: DataFrame, scan: DataFrame, fail_on_reject: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(points, rejects) of a parsed table that carries the place of its rows in `scan`, raw and code.
+
+    Points keep their place; only rejects are looked up by line number, and keep their whole text.
+    """
     good = parsed.where(F.col("code").isNull()).drop("code", "raw")
-    rejects = parsed.where(F.col("code").isNotNull()).select(
-        "source_file", "line_no", F.left("raw", F.lit(4096)).alias("raw"), "code"
+    rejects = lines.with_line_numbers(parsed.where(F.col("code").isNotNull()).select(*lines.PLACE, "raw", "code"), scan).select(
+        "source_file", "line_no", "raw", "code"
     )
     if fail_on_reject:
         first = rejects.orderBy("source_file", "line_no").limit(1).collect()
@@ -155,17 +158,15 @@ def split_rejects(parsed: DataFrame, fail_on_reject: bool = False) -> tuple[Data
 
 
 def read_line_protocol(
-    spark: SparkSession, path, numbered: bool = True, fail_on_reject: bool = False
+    spark: SparkSession, path, fail_on_reject: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(points, rejects) of line protocol text files."""
-    raw = lines.read_lines(spark, path, numbered)
-    parsed = parse_line_protocol(raw, keep=["source_file", "line_no", "raw"])
-    return split_rejects(parsed, fail_on_reject)
+    raw = lines.read_lines(spark, path)
+    return split_rejects(parse_line_protocol(raw, keep=[*lines.PLACE, "raw"]), raw, fail_on_reject)
 
 
 def read_line_protocol_gz(
-    spark: SparkSession, path, limit: int = MAX_GZIP_BYTES, numbered: bool = True,
-    fail_on_reject: bool = False,
+    spark: SparkSession, path, limit: int = MAX_GZIP_BYTES, fail_on_reject: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(points, rejects) of gzip files, each of which must be exactly one sound member.
 
@@ -189,8 +190,8 @@ def read_line_protocol_gz(
         if first:
             raise RejectedInput(first[0]["code"], first[0]["source_file"])
     if not sound:
-        raw = spark.createDataFrame([], "source_file string, line_no bigint, raw string")
-        good, rejects = split_rejects(parse_line_protocol(raw, keep=["source_file", "line_no", "raw"]))
+        raw = spark.createDataFrame([], "source_file string, split_start bigint, row_id bigint, raw string")
+        good, rejects = split_rejects(parse_line_protocol(raw, keep=[*lines.PLACE, "raw"]), raw)
     else:
-        good, rejects = read_line_protocol(spark, sound, numbered, fail_on_reject)
+        good, rejects = read_line_protocol(spark, sound, fail_on_reject)
     return good, rejects.unionByName(failed)

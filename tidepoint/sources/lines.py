@@ -1,66 +1,45 @@
-"""Text lines with a stable position: file and physical line number."""
+"""Text lines with a stable place: file, split and row; line numbers only for the rows that ask for them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A table of file splits is broadcast only below this many rows (about 30 MB).
-MAX_BROADCAST_SPLITS = 200_000
+# A scan reads a split in order inside one task, so row_id (taken right above the scan) grows along the split.
+PLACE = ["source_file", "split_start", "row_id"]
 
 
-def _estimated_splits(spark: SparkSession, path) -> int:
-    """Upper bound for the number of file splits, from the file listing alone."""
-    conf = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf)
-    # Splits can be smaller than the setting when there are many cores and little data.
-    split = max(1, min(split, 4 * 1024 * 1024))
-    listing = spark.read.format("binaryFile").load(path).select("length")
-    row = listing.agg(F.sum(F.ceil(F.col("length") / F.lit(split)) + 1)).first()
-    return int(row[0] or 0)
+def placed(scan: DataFrame, *columns) -> DataFrame:
+    """PLACE and `columns` of rows fresh from a file scan."""
+    return scan.select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split_start"),
+        F.monotonically_increasing_id().alias("row_id"), *columns,
+    )
+
+
+def read_lines(spark: SparkSession, path) -> DataFrame:
+    """PLACE and raw: one row per LF line, with one trailing CR stripped. One scan, no join, no shuffle."""
+    return placed(spark.read.option("lineSep", "\n").text(path), strip_cr(F.col("value")).alias("raw"))
 
 
-def number_within_files(scan: DataFrame, splits_bound: int | None = None) -> DataFrame:
-    """Add `line_no` (1-based per file) to rows fresh from a file scan.
+def with_line_numbers(rows: DataFrame, scan: DataFrame) -> DataFrame:
+    """`rows` of a placed `scan` with line_no, 1-based per file.
 
-    `scan` must carry source_file, _start (split offset) and _mid, the
-    monotonically_increasing_id taken right above the scan. A scan reads a split
-    in order inside one task, so position = rows in earlier splits of the file
-    plus distance from the split's first row. The lines are not shuffled; only
-    one row per split is.
+    Rows are counted per split in a second, narrow scan of the same files; position = rows in earlier splits of
+    the file plus distance from the split's first row. Meant for rejects: `rows` meets one row per split.
     """
-    splits = scan.groupBy("source_file", "_start").agg(
-        F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")
+    splits = scan.groupBy("source_file", "split_start").agg(
+        F.min("row_id").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
     before = (
-        Window.partitionBy("source_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("source_file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
     )
     splits = splits.select(
-        "source_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
-    )
-    if splits_bound is not None and splits_bound <= MAX_BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
-    return scan.join(splits, ["source_file", "_start"]).withColumn(
-        "line_no", F.col("_mid") - F.col("_first") + F.col("_base") + 1
-    ).drop("_start", "_mid", "_first", "_base")
-
-
-def read_lines(spark: SparkSession, path, numbered: bool = True) -> DataFrame:
-    """source_file, line_no, raw: one row per LF line, with one trailing CR stripped."""
-    scan = (
-        spark.read.option("lineSep", "\n").text(path)
-        .select(
-            F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_mid"),
-            F.col("value").alias("raw"),
-        )
+        "source_file", "split_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
     )
-    if numbered:
-        scan = number_within_files(scan, _estimated_splits(spark, path))
-    else:
-        scan = scan.drop("_start", "_mid").withColumn("line_no", F.lit(None).cast("bigint"))
-    return scan.select("source_file", "line_no", strip_cr(F.col("raw")).alias("raw"))
+    return rows.join(splits, ["source_file", "split_start"]).withColumn(
+        "line_no", F.col("row_id") - F.col("_first") + F.col("_base") + 1
+    ).drop("_first", "_base")
 
 
 def strip_cr(c):

@@ -146,33 +146,27 @@ def read_mapped_csv(
 
     multi_line=True reads quoted line breaks exactly, one task per file. When the files
     are known to hold none, multi_line=False splits large files among tasks.
-    `line_no` counts records after the header.
+    `line_no` of rejects counts records after the header.
     """
     header = read_header(spark, path)
     check_csv_mapping(header, mapping)
     # Positional names, so that a header name can never clash with ours.
     slots = [f"_c{i}" for i in range(len(header))]
     schema = T.StructType([T.StructField(s, T.StringType()) for s in [*slots, "_corrupt"]])
-    scan = (
+    scan = lines.placed(
         spark.read.schema(schema)
         .option("header", True).option("enforceSchema", True).option("multiLine", multi_line)
         .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .option("maxCharsPerColumn", -1).option("emptyValue", "")
-        .csv(path)
-        .select(
-            F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_mid"),
-            *slots, "_corrupt",
-        )
+        .csv(path),
+        *slots, "_corrupt",
     )
-    numbered = lines.number_within_files(scan, lines._estimated_splits(spark, path))
-    named = numbered.select(
-        "source_file", "line_no", "_corrupt",
+    named = scan.select(
+        *lines.PLACE, "_corrupt",
         F.coalesce("_corrupt", F.concat_ws(",", *slots)).alias("raw"),
         *[F.col(s).alias(n) for s, n in zip(slots, header)],
     )
-    parsed = points_from_csv(named, mapping, keep=["source_file", "line_no", "raw"])
-    return split_rejects(parsed, fail_on_reject)
+    parsed = points_from_csv(named, mapping, keep=[*lines.PLACE, "raw"])
+    return split_rejects(parsed, scan, fail_on_reject)

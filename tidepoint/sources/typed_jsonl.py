@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepoint.functions import numbers, points, text
+from tidepoint.functions.joins import bounded_broadcast
 from tidepoint.model import (
     INVALID_INPUT,
     MAX_JSONL_LINE_BYTES,
@@ -134,6 +135,7 @@ def parse_typed_jsonl(
         folded = mapping.groupBy(F.col("measurement").alias("_m")).agg(
             F.map_from_entries(F.collect_list(F.struct("field", "kind"))).alias("_kinds")
         )
+        folded = bounded_broadcast(folded, mapping)
         df = df.join(folded, df["measurement"] == folded["_m"], "left").drop("_m")
     else:
         df = df.withColumn("_kinds", F.lit(None).cast("map<string,string>"))
@@ -223,7 +225,7 @@ def parse_typed_jsonl(
 
 def read_typed_jsonl(
     spark: SparkSession, path, numeric_map: list[tuple[str, str, str]] | None = None,
-    numbered: bool = True, fail_on_reject: bool = False,
+    fail_on_reject: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(points, rejects) of typed JSONL files."""
     mapping = None
@@ -231,6 +233,6 @@ def read_typed_jsonl(
         mapping = spark.createDataFrame(
             check_numeric_mapping(numeric_map), "measurement string, field string, kind string"
         )
-    raw = lines.read_lines(spark, path, numbered)
-    parsed = parse_typed_jsonl(raw, keep=["source_file", "line_no", "raw"], mapping=mapping)
-    return split_rejects(parsed, fail_on_reject)
+    raw = lines.read_lines(spark, path)
+    parsed = parse_typed_jsonl(raw, keep=[*lines.PLACE, "raw"], mapping=mapping)
+    return split_rejects(parsed, raw, fail_on_reject)

@@ -15,13 +15,38 @@ def continuous_downsample(
 ) -> DataFrame:
     """Windowed aggregate of a stream, for append mode: a window comes out once the watermark
     has passed its end; rows later than that are dropped. `time` is a timestamp column.
+    open_windows gives what is still open.
     """
-    if any(fn not in AGGREGATES for fn, _, _ in aggregates):
-        raise RejectedInput("AGGREGATE_NOT_ALLOWED")
+    stamped = stream.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", watermark)
+    return _windows(stamped, interval, aggregates, tags)
+
+
+def _seconds(interval: str) -> int:
     seconds = duration_ns(interval) // NS_PER_SECOND
     if seconds * NS_PER_SECOND != duration_ns(interval):
         raise ValueError("a streaming window is a whole number of seconds")
-    stamped = stream.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", watermark)
+    return seconds
+
+
+def open_windows(
+    history: DataFrame, closed: DataFrame, interval: str, aggregates: list[tuple[str, str, str]],
+    tags: list[str] | None = None, time: str = "time",
+) -> DataFrame:
+    """The windows a stream has not closed yet, from the rows behind it: what a last run adds to `closed`.
+
+    A stream closes windows in the order of time, so the open ones are those after the newest closed one.
+    """
+    newest = closed.agg(F.max("bucket_ns")).first()[0]
+    rows = history.withColumn("_time", F.col(time).cast("timestamp"))
+    if newest is not None:
+        rows = rows.where(F.unix_micros("_time") >= newest // 1000 + _seconds(interval) * 1_000_000)
+    return _windows(rows, interval, aggregates, tags)
+
+
+def _windows(stamped: DataFrame, interval: str, aggregates: list[tuple[str, str, str]], tags: list[str] | None) -> DataFrame:
+    if any(fn not in AGGREGATES for fn, _, _ in aggregates):
+        raise RejectedInput("AGGREGATE_NOT_ALLOWED")
+    seconds = _seconds(interval)
     out = stamped.groupBy(F.window("_time", f"{seconds} seconds").alias("w"), *(tags or [])).agg(
         *[AGGREGATES[fn](F.col(f"`{field}`")).alias(alias) for fn, field, alias in aggregates]
     )
