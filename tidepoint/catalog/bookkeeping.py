@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidepoint.catalog.registry import DAY, E, O, SECOND, query, table
+from tidepoint.catalog.registry import DAY, E, O, ORACLES, SECOND, query, shared_dir, table
 from tidepoint.functions import identity
 from tidepoint.operators import select
 from tidepoint.plans import events as logs
 from tidepoint.plans import transfers
+from tidepoint.sources.write_replies import read_write_responses
 
 
 def _event_log(spark, sf):
@@ -175,6 +176,20 @@ RESPONSES = """
     """,
 )
 def classify_write_responses(spark, sf):
+    return transfers.classify_write_responses(_replies(spark, sf)).select("event_id", "outcome")
+
+
+@query("write_responses_files", ORACLES["classify_write_responses"].replace("SELECT event_id,", "SELECT CAST(event_id AS VARCHAR) AS batch_id,"))
+def write_responses_files(spark, sf):
+    """The same replies captured in files and read back."""
+    path = shared_dir(spark, "replies")
+    _replies(spark, sf).select(
+        F.col("event_id").cast("string").alias("batch_id"), "status", "body", F.col("content_length").alias("contentLength")
+    ).write.json(path)
+    return read_write_responses(spark, path).select("batch_id", "outcome")
+
+
+def _replies(spark, sf):
     e = table(spark, sf, "events")
     kind = F.col("event_type")
     status = F.when(kind == "click", 204).when(kind == "view", 400).when(kind == "signup", 413).when(kind == "purchase", 401).otherwise(503)
@@ -184,8 +199,7 @@ def classify_write_responses(spark, sf):
         .when(kind == "purchase", F.when(F.col("value") > 40, F.concat(F.col("props"), F.lit("}"))).otherwise(F.col("props")))
         .otherwise(F.col("props"))
     )
-    replies = e.select("event_id", status.alias("status"), body.alias("body"), F.octet_length(body).alias("content_length"))
-    return transfers.classify_write_responses(replies).select("event_id", "outcome")
+    return e.select("event_id", status.alias("status"), body.alias("body"), F.octet_length(body).cast("bigint").alias("content_length"))
 
 
 @query(

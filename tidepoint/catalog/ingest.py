@@ -350,3 +350,35 @@ def query_responses(spark, sf):
     files = Window.partitionBy("host").orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
     base = before.select("host", "source_file", F.coalesce(F.sum("n").over(files), F.lit(0)).alias("base"))
     return flat.join(base, ["host", "source_file"]).withColumn("row_index", F.col("row_index") + F.col("base")).drop("source_file", "base")
+
+
+@query("line_protocol_gz", f"SELECT {EVENT_LINE} AS canonical_lp FROM {E}")
+def line_protocol_gz(spark, sf):
+    """Points written as gzip files, checked and read back."""
+    path = shared_dir(spark, "lp-gz")
+    event_points(spark, sf).select("canonical_lp").write.option("compression", "gzip").text(path)
+    good, _ = line_protocol.read_line_protocol_gz(spark, path)
+    return good.select("canonical_lp")
+
+
+@query(
+    "exact_csv_files",
+    """
+    SELECT CAST(o_orderkey AS VARCHAR) AS key, '  ' || o_orderpriority || ' "q",' || chr(10) || 'x  ' AS text, CASE o_orderstatus WHEN 'P' THEN '' ELSE '\\.' END AS mark,
+           CAST(o_custkey AS VARCHAR) AS number FROM orders
+    """,
+)
+def exact_csv_files(spark, sf):
+    """Awkward cells written exactly and read back by Spark's own reader."""
+    path = shared_dir(spark, "csv")
+    o = table(spark, sf, "orders")
+    exports.write_exact_csv(o.select(
+        F.col("o_orderkey").alias("key"),
+        F.concat(F.lit("  "), "o_orderpriority", F.lit(' "q",\nx  ')).alias("text"),
+        F.when(F.col("o_orderstatus") != "P", F.lit("\\.")).alias("mark"), F.col("o_custkey").alias("number"),
+    ), path)
+    back = spark.read.schema("key string, text string, mark string, number string").option("multiLine", True).option(
+        "quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
+    # One header for all parts.
+    return back.where("key <> 'key'").select("key", "text", F.coalesce("mark", F.lit("")).alias("mark"), "number")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepoint.catalog.registry import (
-    DAY, E, EVENTS, FEB_1, HOUR, JAN_1, O, SECOND, event_points, events, lineitem, orders, query, rounded, table,
+    DAY, E, EVENTS, FEB_1, HOUR, JAN_1, O, SECOND, event_keys, event_points, events, lineitem, orders, query, rounded, shared_dir, table,
 )
 from tidepoint.operators import aggregate, mutate, schema, select
 from tidepoint.plans import slices
@@ -170,7 +170,7 @@ def slimit(spark, sf):
 def _cardinality(of, sql, key=None):
     @query(f"cardinality_{of}", sql)
     def run(spark, sf):
-        return aggregate.cardinality(event_points(spark, sf), of, key)
+        return aggregate.cardinality(event_keys(spark, sf), of, key)
 
 
 _cardinality("measurement", "SELECT count(DISTINCT m) AS cardinality FROM (SELECT 'events' AS m FROM events)")
@@ -207,7 +207,7 @@ def show_tag_keys(spark, sf):
 
 @query("show_tag_values", "SELECT DISTINCT event_type AS value FROM events")
 def show_tag_values(spark, sf):
-    return aggregate.show_tag_values(event_points(spark, sf), "event_type")
+    return aggregate.show_tag_values(event_keys(spark, sf), "event_type")
 
 
 @query(
@@ -216,7 +216,7 @@ def show_tag_values(spark, sf):
     "UNION SELECT DISTINCT 'user_id', 'int64' FROM events WHERE user_id IS NOT NULL",
 )
 def show_field_keys(spark, sf):
-    return aggregate.show_field_keys(event_points(spark, sf), "events")
+    return aggregate.show_field_keys(event_keys(spark, sf), "events")
 
 
 def _documents_catalog(spark, sf):
@@ -261,7 +261,7 @@ def search_schema(spark, sf):
     """,
 )
 def infer_schema(spark, sf):
-    return schema.infer_schema(event_points(spark, sf))
+    return schema.infer_schema(event_keys(spark, sf))
 
 
 def _strict_schema(spark):
@@ -305,7 +305,7 @@ def validate_points(spark, sf):
     "SELECT DISTINCT 'events' AS measurement, 'user_id' AS name, 'field' AS role FROM events",
 )
 def unknown_keys(spark, sf):
-    return schema.unknown_keys(event_points(spark, sf), _strict_schema(spark))
+    return schema.unknown_keys(event_keys(spark, sf), _strict_schema(spark))
 
 
 SLICE = 6 * 3600 * SECOND
@@ -364,13 +364,52 @@ def apply_retention(spark, sf):
     "WHERE NOT (event_type = 'error' AND value > 10) GROUP BY 1, 2",
 )
 def delete_points(spark, sf):
-    from tidepoint.catalog.registry import shared_dir
+    path = _stored_events(spark, sf)
+    mutate.delete_points(spark, path, (F.col("event_type") == "error") & (F.col("value") > 10), dry_run=False)
+    return _daily(spark, path)
+
 
+def _stored_events(spark, sf):
+    """Points by event type: one measurement each."""
     path = shared_dir(spark, "points")
-    mutate.write_points(events(spark, sf).drop("time").withColumns({"db": F.lit("d"), "rp": F.lit("r")}), path)
-    mutate.delete_points(spark, path, (F.col("event_type") == "error") & (F.col("value") > 10), dry_run=False)
+    wide = events(spark, sf).drop("time").withColumns({"db": F.lit("d"), "rp": F.lit("r"), "measurement": F.col("event_type")})
+    mutate.write_points(wide, path)
+    return path
+
+
+def _daily(spark, path):
     left = spark.read.parquet(path)
     out = left.groupBy("event_type", F.unix_date("day").cast("bigint").alias("day_no")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")
     )
     return rounded(out, "total")
+
+
+DAILY = f"SELECT event_type, time_ns // {DAY} AS day_no, count(*) AS n, round(sum(value), 6) AS total FROM {E} WHERE "
+
+
+@query("drop_measurement", DAILY + "event_type <> 'view' GROUP BY 1, 2")
+def drop_measurement(spark, sf):
+    path = _stored_events(spark, sf)
+    mutate.drop_measurement(spark, path, "view", dry_run=False)
+    return _daily(spark, path)
+
+
+@query("enforce_retention", DAILY + f"time_ns >= {NOW} - {10 * DAY + 5 * HOUR} GROUP BY 1, 2")
+def enforce_retention(spark, sf):
+    path = _stored_events(spark, sf)
+    mutate.enforce_retention(spark, path, 10 * DAY + 5 * HOUR, NOW)
+    return _daily(spark, path)
+
+
+@query(
+    "select_into",
+    f"SELECT event_type, time_ns - time_ns % {HOUR} AS time_ns, round(avg(value), 6) AS mean_value FROM {E} GROUP BY 1, 2",
+)
+def select_into(spark, sf):
+    """An hourly mean stored as a measurement, and read back from its own partitions."""
+    path = shared_dir(spark, "into")
+    hourly = aggregate.group_by_time(events(spark, sf), "1h", [("mean", "value", "mean_value")], ["event_type"])
+    mutate.select_into(hourly.withColumnRenamed("bucket_ns", "time_ns"), path, "d", "r", "hourly")
+    stored = spark.read.parquet(path).where((F.col("db") == "d") & (F.col("measurement") == "hourly"))
+    return rounded(stored.select("event_type", "time_ns", "mean_value"), "mean_value")

@@ -72,6 +72,10 @@ def event_points(spark: SparkSession, sf: str) -> DataFrame:
     return tables.points_from_wide(tables.wide_points(spread_table(spark, sf, "events"), EVENTS), EVENTS)
 
 
+def event_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.keys_from_wide(events(spark, sf), EVENTS)
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Six decimals: sums of doubles depend on their order in the last bits."""
     return df.withColumns({c: F.round(c, 6) for c in columns})

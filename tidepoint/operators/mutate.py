@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepoint.functions.joins import bounded_broadcast
 from tidepoint.model import NS_PER_DAY, RejectedInput, duration_ns
 from tidepoint.operators import select
 from tidepoint.sinks import files
 
 PARTITIONS = ["db", "rp", "measurement", "day"]
-MAX_BROADCAST_PARTITIONS = 100_000
 
 
 def day_of(time_ns: Column) -> Column:
@@ -25,9 +25,12 @@ def write_points(df: DataFrame, path: str, mode: str = "append") -> None:
     Rows are spread by partition and a slice of time, so a partition that holds a large
     share of all rows is written by many tasks.
     """
-    df = df.withColumn("day", day_of(F.col("time_ns")))
+    _spread(df.withColumn("day", day_of(F.col("time_ns")))).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+
+
+def _spread(df: DataFrame) -> DataFrame:
     hour = F.floor(F.pmod("time_ns", F.lit(NS_PER_DAY)) / F.lit(NS_PER_DAY // 24)).cast("int")
-    df.repartition(*PARTITIONS, hour).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+    return df.repartition(*PARTITIONS, hour)
 
 
 def select_into(df: DataFrame, path: str, db: str, rp: str, measurement: str) -> None:
@@ -52,12 +55,16 @@ def delete_points(spark: SparkSession, path: str, predicate: Column, dry_run: bo
 
     Partitions without a match are not rewritten; a partition that loses all its points is
     dropped. With dry_run only the counts are computed.
+
+    The predicate filters before anything is grouped, so that it prunes partitions and
+    reaches the files; totals are then counted in the touched partitions alone.
     """
     table = spark.read.parquet(path)
     hit = F.coalesce(predicate, F.lit(False))
-    touched = table.groupBy(*PARTITIONS).agg(
-        F.count_if(hit).alias("matched"), F.count(F.lit(1)).alias("total")
-    ).where(F.col("matched") > 0)
+    matched = table.where(predicate).groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("matched"))
+    totals = table.join(bounded_broadcast(matched.select(*PARTITIONS)), PARTITIONS, "left_semi").groupBy(*PARTITIONS).agg(
+        F.count(F.lit(1)).alias("total"))
+    touched = matched.join(totals, PARTITIONS)
     if dry_run:
         return touched
     # One row per partition directory, which the driver lists anyway.
@@ -66,10 +73,8 @@ def delete_points(spark: SparkSession, path: str, predicate: Column, dry_run: bo
     partial = [r for r in rows if r["matched"] < r["total"]]
     if partial:
         keys = spark.createDataFrame([[r[c] for c in PARTITIONS] for r in partial], touched.select(*PARTITIONS).schema)
-        if len(partial) <= MAX_BROADCAST_PARTITIONS:
-            keys = F.broadcast(keys)
-        kept = table.join(keys, PARTITIONS, "left_semi").where(~hit)
-        kept.repartition(*PARTITIONS).write.mode("overwrite").option(
+        kept = table.join(bounded_broadcast(keys), PARTITIONS, "left_semi").where(~hit)
+        _spread(kept).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(*PARTITIONS).parquet(path)
     for r in rows:

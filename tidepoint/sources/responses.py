@@ -328,9 +328,12 @@ def read_query_responses(
     spark: SparkSession, path, statement_count: int = 1, time_column: str = "time",
     schema: DataFrame | None = None, limit: int = MAX_CHUNK_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, verdicts). Rows of files with a bad verdict are for inspection only."""
+    """(rows, verdicts). Rows of files with a bad verdict are for inspection only: one bad row or number fails its file."""
     chunks = read_chunks(spark, path, limit)
-    return result_rows(chunks, time_column, schema), reconcile_statements(chunks, statement_count)
+    rows = result_rows(chunks, time_column, schema)
+    bad = rows.where(F.col("code").isNotNull()).groupBy("source_file").agg(F.min("code").alias("_row_code"))
+    verdicts = reconcile_statements(chunks, statement_count).join(bad, "source_file", "left")
+    return rows, verdicts.withColumn("code", F.coalesce("code", "_row_code")).drop("_row_code")
 
 
 def read_schema_responses(spark: SparkSession, path) -> DataFrame:

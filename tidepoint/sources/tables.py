@@ -131,6 +131,22 @@ def points_from_wide(df: DataFrame, shape: PointShape, keep: tuple[str, ...] = (
     )
 
 
+def keys_from_wide(df: DataFrame, shape: PointShape) -> DataFrame:
+    """points_wide -> measurement, tags, fields (kinds only), series_key, for listings and cardinalities.
+
+    Nothing stands between these columns and the scan, so a listing reads the columns it needs.
+    """
+    kinds = F.array(*[
+        F.struct(F.lit(n).alias("key"), F.when(F.col(f"`{n}`").isNotNull(), F.struct(F.lit(k).alias("kind"))).alias("value"))
+        for n, k in sorted(shape.fields.items())
+    ])
+    return df.select(
+        "measurement", F.map_from_entries(tag_entries(shape.tags)).alias("tags"),
+        F.map_from_entries(F.filter(kinds, lambda e: e["value"].isNotNull())).alias("fields"),
+        wide_series_key(F.col("measurement"), shape.tags).alias("series_key"),
+    )
+
+
 def points_line() -> Column:
     """Canonical line of a long point; NULL when a field has a kind that cannot be written."""
     fields = F.array_sort(F.map_entries("fields"), lambda a, b: F.when(a["key"] < b["key"], -1)
