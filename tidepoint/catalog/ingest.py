@@ -382,3 +382,38 @@ def exact_csv_files(spark, sf):
         "ignoreTrailingWhiteSpace", False).csv(path)
     # One header for all parts.
     return back.where("key <> 'key'").select("key", "text", F.coalesce("mark", F.lit("")).alias("mark"), "number")
+
+
+@query(
+    "mapped_csv_files",
+    f"""
+    SELECT 'orders,o_orderpriority=' || replace(o_orderpriority, ' ', '\\ ') || ' note="' || o_orderstatus || ', ok",o_custkey=' || o_custkey || 'i,o_totalprice='
+           || {num("o_totalprice")} || ' ' || epoch_us(o_orderdate) * 1000 AS canonical_lp, 1 AS n
+    FROM orders WHERE o_orderstatus = 'O' OR o_orderkey % 2 = 0
+    UNION ALL SELECT 'rejected', count(*) FROM orders WHERE NOT (o_orderstatus = 'O' OR o_orderkey % 2 = 0)
+    """,
+)
+def mapped_csv_files(spark, sf):
+    """Orders in files of two column orders. Odd orders that are not open carry a line break or a bare pair of quotes."""
+    path = shared_dir(spark, "orders-csv")
+    o = table(spark, sf, "orders").withColumn("ns", (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).cast("string"))
+    spoiled = (F.col("o_orderstatus") != "O") & (F.pmod("o_orderkey", F.lit(2)) == 1)
+    note = F.concat("o_orderstatus", F.lit(", ok"), F.when(spoiled & (F.col("o_orderstatus") == "F"), F.lit("\nnext")).otherwise(F.lit("")))
+    cells = {"ns": F.col("ns"), "note": note, "price": F.col("o_totalprice").cast("string"), "prio": F.col("o_orderpriority"),
+             "cust": F.concat(F.col("o_custkey").cast("string"), F.when(spoiled & (F.col("o_orderstatus") == "P"), F.lit('""')).otherwise(F.lit("")))}
+    for k, order in enumerate((["ns", "note", "price", "prio", "cust"], ["cust", "prio", "ns", "price", "note"])):
+        rows = o.where(F.pmod(F.floor(F.col("o_orderkey") / 2), F.lit(2)) == k)
+        # The customer cell is written as it stands, so its quotes are bare.
+        record = F.concat_ws(",", *[cells[c] if c == "cust" else exports.csv_record([cells[c]]) for c in order])
+        # The first row of each part file brings the header.
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        numbered = rows.select(record.alias("value"), first.alias("first"))
+        lines_ = F.when(F.col("first"), F.array(F.lit(",".join(order)), "value")).otherwise(F.array("value"))
+        numbered.select(F.explode(lines_).alias("value")).write.text(f"{path}/{k}")
+    mapping = mapped_csv.CsvMapping(
+        timestamp_column="ns", static_measurement="orders", tag_columns={"prio": "o_orderpriority"},
+        field_columns={"cust": ("o_custkey", "int64"), "price": ("o_totalprice", "float64"), "note": ("note", "string")},
+    )
+    good, rejects = mapped_csv.read_mapped_csv(spark, [f"{path}/0", f"{path}/1"], mapping)
+    lost = rejects.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("canonical_lp"), "n")
+    return good.select("canonical_lp", F.lit(1).cast("bigint").alias("n")).unionByName(lost)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import csv
-import io
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidepoint.functions import numbers, points, text
+from tidepoint.functions.joins import bounded_broadcast
 from tidepoint.model import (
     CSV_MAPPING_INVALID,
     EMPTY,
@@ -71,14 +69,6 @@ def check_csv_mapping(header: list[str], mapping: CsvMapping) -> None:
         reject("unknown field kind")
 
 
-def read_header(spark: SparkSession, path) -> list[str]:
-    """Column names of the first record of the first file; only that record is fetched."""
-    first = spark.read.option("lineSep", "\n").text(path).where(F.col("value").rlike(r"[^\r]")).limit(1).collect()
-    if not first:
-        raise RejectedInput(EMPTY)
-    return next(csv.reader(io.StringIO(first[0]["value"].removesuffix("\r")), strict=True))
-
-
 def points_from_csv(df: DataFrame, mapping: CsvMapping, keep: list[str] | None = None) -> DataFrame:
     """All-STRING rows (columns named as the header) -> point columns plus `code`.
 
@@ -139,34 +129,117 @@ def points_from_csv(df: DataFrame, mapping: CsvMapping, keep: list[str] | None =
     return points.assemble(points.evaluate_once(df), keep)
 
 
+# A strict CSV field; quotes stand around a whole field or are doubled inside one.
+FIELD = r'(?:"(?:[^"]++|"")*+"|[^",\r\n]*+)'
+RECORD = rf"^{FIELD}(?:,{FIELD})*+\z"
+
+
+def split_fields(record: Column) -> Column:
+    """Cells of one record, NULL when it is no strict CSV."""
+    # With a comma in front no match is empty.
+    cells = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(rf",({FIELD})"), F.lit(1))
+    plain = F.transform(cells, lambda c: F.when(
+        F.startswith(c, F.lit('"')),
+        F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
+    ).otherwise(c))
+    return F.when(record.rlike(RECORD), plain)
+
+
+def _with_quotes_before(raw: DataFrame) -> DataFrame:
+    """Lines with _toggles: how many lines of the file before it hold an odd number of quotes.
+
+    Counted per split in a narrow scan, then along each split in scan order; no line is shuffled.
+    """
+    odd = (F.length("raw") - F.length(F.replace("raw", F.lit('"'), F.lit("")))) % 2 == 1
+    marked = raw.withColumn("_odd", odd)
+    before = Window.partitionBy("source_file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = marked.groupBy("source_file", "split_start").agg(F.count_if("_odd").alias("_n")).select(
+        "source_file", "split_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_toggles"))
+    # Only splits behind a quote that is still open, or behind any at all, need a place in the count.
+    splits = splits.where("_toggles > 0")
+    joined = marked.join(bounded_broadcast(splits), ["source_file", "split_start"], "left").withColumn(
+        "_toggles", F.coalesce("_toggles", F.lit(0).cast("bigint")))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        place, seen = None, 0
+        for batch in batches:
+            names = batch.schema.names
+            odds = batch.column(names.index("_odd")).to_numpy(zero_copy_only=False).astype(np.int64)
+            files, starts = (batch.column(names.index(c)) for c in ("source_file", "split_start"))
+            base = batch.column(names.index("_toggles")).to_numpy()
+            inner = np.cumsum(odds) - odds
+            new = np.ones(len(odds), bool)
+            new[1:] = np.diff(starts.to_numpy()) != 0
+            codes = files.dictionary_encode().indices.to_numpy()
+            new[1:] |= np.diff(codes) != 0
+            if len(odds):
+                new[0] = (files[0].as_py(), starts[0].as_py()) != place
+                at = np.maximum.accumulate(np.where(new, np.arange(len(odds)), -1))
+                inner = np.where(at >= 0, inner - inner[np.maximum(at, 0)], inner + seen)
+                place = (files[-1].as_py(), starts[-1].as_py())
+                seen = int(inner[-1] + odds[-1])
+            yield batch.set_column(names.index("_toggles"), "_toggles", pa.array(base + inner, pa.int64()))
+
+    return joined.mapInArrow(run, joined.schema)
+
+
+def read_records(raw: DataFrame) -> DataFrame:
+    """PLACE (of the first line) and `raw` of every CSV record; blank lines give none.
+
+    A record ends at the first line break outside quotes. Lines that are whole records, as a rule
+    all, pass as they are; parts of longer ones meet by file and running number.
+    """
+    lines_ = _with_quotes_before(raw)
+    inside = (F.col("_toggles") % 2 == 1) | F.col("_odd")
+    whole = lines_.where(~inside & (F.col("raw") != "")).select(*lines.PLACE, "raw")
+    part = F.struct("split_start", "row_id", "raw")
+    longer = lines_.where(inside).groupBy("source_file", F.floor(F.col("_toggles") / 2).alias("_record")).agg(
+        F.array_sort(F.collect_list(part)).alias("_parts")
+    ).select(
+        "source_file", F.col("_parts")[0]["split_start"].alias("split_start"), F.col("_parts")[0]["row_id"].alias("row_id"),
+        F.array_join(F.transform("_parts", lambda x: x["raw"]), "\n").alias("raw"),
+    )
+    return whole.unionByName(longer)
+
+
 def read_mapped_csv(
-    spark: SparkSession, path, mapping: CsvMapping, multi_line: bool = True, fail_on_reject: bool = False
+    spark: SparkSession, path, mapping: CsvMapping, fail_on_reject: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """(points, rejects) of CSV files that share one header.
+    """(points, rejects) of CSV files, each with its own header, whose columns may come in any order.
 
-    multi_line=True reads quoted line breaks exactly, one task per file. When the files
-    are known to hold none, multi_line=False splits large files among tasks.
-    `line_no` of rejects counts records after the header.
+    Large files are split among tasks, with line breaks inside quotes or without. Quotes are read
+    strictly: a record with a bare or stray quote is rejected, whole. `line_no` of a reject is the
+    line its record begins on.
     """
-    header = read_header(spark, path)
-    check_csv_mapping(header, mapping)
+    raw = lines.read_lines(spark, path)
+    records = read_records(raw)
+    heads = records.where("split_start = 0").groupBy("source_file").agg(
+        F.min_by(F.struct("row_id", "raw"), F.col("row_id")).alias("_head"))
+    heads = heads.select("source_file", F.col("_head.row_id").alias("_head_row"), split_fields(F.col("_head.raw")).alias("_header"))
+    found = False
+    for row in heads.select("_header").distinct().toLocalIterator():
+        check_csv_mapping(list(row["_header"] or []), mapping)
+        found = True
+    if not found:
+        raise RejectedInput(EMPTY)
+    rows = records.join(bounded_broadcast(heads), "source_file").where(
+        (F.col("split_start") > 0) | (F.col("row_id") > F.col("_head_row")))
+    rows = points.evaluate_once(rows.withColumn("_cells", split_fields(F.col("raw"))))
+    fits = F.size("_cells") == F.size("_header")
+    names = [c for c in (mapping.measurement_column, mapping.timestamp_column) if c]
+    names += [*mapping.tag_columns, *mapping.field_columns]
     # Positional names, so that a header name can never clash with ours.
-    slots = [f"_c{i}" for i in range(len(header))]
-    schema = T.StructType([T.StructField(s, T.StringType()) for s in [*slots, "_corrupt"]])
-    scan = lines.placed(
-        spark.read.schema(schema)
-        .option("header", True).option("enforceSchema", True).option("multiLine", multi_line)
-        .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .option("maxCharsPerColumn", -1).option("emptyValue", "")
-        .csv(path),
-        *slots, "_corrupt",
-    )
-    named = scan.select(
-        *lines.PLACE, "_corrupt",
-        F.coalesce("_corrupt", F.concat_ws(",", *slots)).alias("raw"),
-        *[F.col(s).alias(n) for s, n in zip(slots, header)],
-    )
-    parsed = points_from_csv(named, mapping, keep=[*lines.PLACE, "raw"])
-    return split_rejects(parsed, scan, fail_on_reject)
+    slots = {f"_c{i}": F.try_element_at("_cells", F.array_position("_header", F.lit(n)).cast("int")) for i, n in enumerate(names)}
+    rows = points.evaluate_once(rows.select(
+        *[F.col(c).alias(f"_{c}") for c in (*lines.PLACE, "raw")],
+        F.when(F.coalesce(fits, F.lit(False)), F.lit(None)).otherwise(F.col("raw")).alias("__corrupt"),
+        *[F.when(fits, c).alias(s) for s, c in slots.items()],
+    ))
+    place = [f"_{c}" for c in (*lines.PLACE, "raw")]
+    named = rows.select(*place, F.col("__corrupt").alias("_corrupt"), *[F.col(s).alias(n) for s, n in zip(slots, names)])
+    parsed = points_from_csv(named, mapping, keep=place)
+    parsed = parsed.withColumnsRenamed({f"_{c}": c for c in (*lines.PLACE, "raw")})
+    return split_rejects(parsed, raw, fail_on_reject)
