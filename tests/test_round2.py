@@ -99,3 +99,23 @@ def test_listings_and_deletes_read_what_they_need(spark):
     path = reads._stored_events(spark, SF)
     shown = plan(mutate.drop_measurement(spark, path, "view"))
     assert "PartitionFilters: [isnotnull(measurement" in shown
+
+
+@pytest.mark.parametrize("step", [1, 3, 1000])
+def test_frames_do_not_depend_on_blocks(step):
+    docs = [b'{"a":"}{\\"]"}', b'{"b":[{"c":"\\\\"},[]]}', b"{}", '{"ü":"{"}'.encode()]
+    raw = b" \r\n".join(docs) + b"\n"
+
+    class Stream:
+        at = 0
+
+        def read(self, _):
+            self.at += step
+            return raw[self.at - step : self.at]
+
+    assert list(responses._frames(Stream(), 30)) == [(d, None) for d in docs]
+    assert list(responses._frames(Stream(), 13))[-1] == (None, responses.TOO_LARGE)
+    raw = raw[:-2]
+    assert list(responses._frames(Stream(), 30))[-1] == (None, responses.PROTOCOL)
+    raw = b"{} x"
+    assert list(responses._frames(Stream(), 30)) == [(b"{}", None), (None, responses.PROTOCOL)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # Fixed value: a gzip member with no content.
-EMPTY_GZIP = bytes.fromhex("1f8b0800000000000003030000000000" + "00000000")
+EMPTY_GZIP = bytes.fromhex("1f8b080000000000000303000000000000000000")
 
 
 def _fs(spark: SparkSession, path: str):

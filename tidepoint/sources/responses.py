@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepoint.functions import identity, numbers, points
+from tidepoint.functions.joins import bounded_broadcast
 from tidepoint.model import FIELD_TYPE_KIND, MAX_CHUNK_BYTES, SCHEMA_DRIFT
 from tidepoint.sources.artifacts import list_files, open_stream
 
@@ -25,51 +27,49 @@ CHUNK_SCHEMA = (
     "partial boolean, series_no int, name string, tags map<string,string>, "
     "columns array<string>, cells array<array<struct<t:string,v:string>>>"
 )
-_NAMES = [part.strip().split()[0] for part in
-          ("source_file s,chunk_no s,code s,statement_id s,error s,partial s,series_no s,name s,"
-           "tags s,columns s,cells s").split(",")]
+_NAMES = [
+    "source_file", "chunk_no", "code", "statement_id", "error", "partial", "series_no", "name", "tags", "columns", "cells",
+]
 
 
 class _Number(str):
     """Number token exactly as it was written."""
 
 
+_SPACE = re.compile(rb"[ \t\r\n]*")
+# A whole string, a bracket, or the quote of a string that ends beyond the buffer.
+_TOKEN = re.compile(rb'"(?:[^"\\]++|\\.)*+"|[{}\[\]]|"', re.S)
+_STEP = {b"{": 1, b"[": 1, b"}": -1, b"]": -1}
+
+
 def _frames(stream, limit: int):
     """Yield (text, problem) for each top-level JSON object; stops at the first problem."""
-    buffer, depth, in_string, escaped, scanned = bytearray(), 0, False, False, 0
+    buffer, start, at, depth = b"", 0, 0, 0
     while True:
         block = stream.read(1 << 20)
-        buffer += block
-        while scanned < len(buffer):
-            ch = buffer[scanned]
+        buffer, at, start = buffer[start:] + block, at - start, 0
+        while True:
             if depth == 0:
-                if ch in b" \t\r\n":
-                    scanned += 1
-                    continue
-                if ch != 0x7B:
+                start = at = _SPACE.match(buffer, start).end()
+                if start == len(buffer):
+                    break
+                if buffer[start] != 0x7B:
                     yield None, PROTOCOL
                     return
-            if in_string:
-                if escaped:
-                    escaped = False
-                elif ch == 0x5C:
-                    escaped = True
-                elif ch == 0x22:
-                    in_string = False
-            elif ch == 0x22:
-                in_string = True
-            elif ch in b"{[":
-                depth += 1
-            elif ch in b"}]":
-                depth -= 1
-            scanned += 1
-            if scanned > limit:
+            for token in _TOKEN.finditer(buffer, at):
+                if token[0] == b'"':
+                    break
+                at = token.end()
+                depth += _STEP.get(token[0], 0)
+                if depth == 0:
+                    break
+            if (at if depth == 0 else len(buffer)) - start > limit:
                 yield None, TOO_LARGE
                 return
-            if depth == 0:
-                yield bytes(buffer[:scanned]), None
-                del buffer[:scanned]
-                scanned = 0
+            if depth:
+                break
+            yield buffer[start:at], None
+            start = at
         if not block:
             if depth:
                 yield None, PROTOCOL
@@ -230,6 +230,7 @@ def result_rows(chunks: DataFrame, time_column: str = "time", schema: DataFrame
         kinds = schema.groupBy(F.col("measurement").alias("_m")).agg(
             F.map_from_entries(F.collect_list(F.struct("field", "kind"))).alias("_kinds")
         )
+        kinds = bounded_broadcast(kinds, schema)
         blocks = blocks.join(kinds, blocks["name"] == kinds["_m"], "left").drop("_m")
     else:
         blocks = blocks.withColumn("_kinds", F.lit(None).cast("map<string,string>"))
@@ -286,7 +287,7 @@ def resolve_numeric_kind(cells: DataFrame, schema: DataFrame) -> DataFrame:
     s = schema.select(
         F.col("measurement"), F.col("field").alias("column"), F.col("kind").alias("_kind")
     )
-    joined = cells.join(s, ["measurement", "column"], "left")
+    joined = cells.join(bounded_broadcast(s), ["measurement", "column"], "left")
     kind = F.coalesce("_kind", F.lit("numeric_text"))
     typed = typed_cell(F.lit("number"), F.col("token"), kind, F.lit(False), F.lit(True))
     return joined.withColumn("_t", typed).select(
