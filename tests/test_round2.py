@@ -119,3 +119,17 @@ def test_frames_do_not_depend_on_blocks(step):
     assert list(responses._frames(Stream(), 30))[-1] == (None, responses.PROTOCOL)
     raw = b"{} x"
     assert list(responses._frames(Stream(), 30)) == [(b"{}", None), (None, responses.PROTOCOL)]
+
+
+def test_spec_digests(spark):
+    import hashlib
+
+    def digest(*args):
+        return spark.range(1).select(identity.spec_digest(*args).alias("d")).first()["d"]
+
+    head = '{"schemaVersion":1,"format":"%s","normalizationVersion":"canonical-lp-v1","adaptiveMaxPoints":"5000","adaptiveMaxBytes":"5242880"'
+    assert digest("LP") == hashlib.sha256((head % "LP" + "}").encode()).hexdigest()
+    csv = {"timestamp_column": "t", "static_measurement": "m", "tag_columns": {"b": "y", "a": "x"}, "field_columns": {"v": ("w", "int64")}}
+    want = head % "CSV" + (',"csv":{"staticMeasurement":"m","timestampColumn":"t","tags":[{"source":"a","target":"x"},{"source":"b","target":"y"}],'
+                           '"fields":[{"source":"v","target":"w","kind":"int64"}]},"numericMappings":[{"measurement":"m","field":"v","kind":"uint64"}]}')
+    assert digest("CSV", csv, [("m", "v", "uint64")]) == hashlib.sha256(want.encode()).hexdigest()

@@ -413,3 +413,17 @@ def select_into(spark, sf):
     mutate.select_into(hourly.withColumnRenamed("bucket_ns", "time_ns"), path, "d", "r", "hourly")
     stored = spark.read.parquet(path).where((F.col("db") == "d") & (F.col("measurement") == "hourly"))
     return rounded(stored.select("event_type", "time_ns", "mean_value"), "mean_value")
+
+
+@query(
+    "dedupe_last",
+    f"SELECT 'events,event_type=' || event_type AS series_key, time_ns - time_ns % {HOUR} AS time_ns, arg_max(value, event_id) AS value, max(event_id) AS event_id "
+    "FROM (SELECT *, epoch_us(ts) * 1000 AS time_ns FROM events) GROUP BY 1, 2",
+)
+def dedupe_last(spark, sf):
+    """Points sent again for the same hour: the last one counts."""
+    e = table(spark, sf, "events").select(
+        F.concat(F.lit("events,event_type="), "event_type").alias("series_key"),
+        aggregate.bucket_ns(HOUR, F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time_ns"), "value", "event_id",
+    )
+    return select.dedupe_last(e, ["event_id"])

@@ -108,6 +108,38 @@ def source_identity_digest(sha256: Column, size_bytes: Column) -> Column:
     )
 
 
+# The normalisation and the first batch limits that an import starts with.
+NORMALIZATION, FIRST_POINTS, FIRST_BYTES = "canonical-lp-v1", "5000", "5242880"
+
+
+def spec_digest(kind: str, csv: dict | None = None, numeric: list[tuple[str, str, str]] | None = None) -> Column:
+    """Digest of an import's specification: format (LP, JSONL, CSV), CSV mapping and numeric mapping.
+
+    `csv` has the members of sources.mapped_csv.CsvMapping. Columns are listed by their source name,
+    numeric mappings by measurement and field.
+    """
+    def text(value):
+        return F.lit(value or None).cast("string")
+
+    def listed(rows, names):
+        items = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in sorted(rows)]
+        return [F.array(*items)] if items else []
+
+    members = [
+        F.lit(1).alias("schemaVersion"), F.lit(kind).alias("format"), F.lit(NORMALIZATION).alias("normalizationVersion"),
+        F.lit(FIRST_POINTS).alias("adaptiveMaxPoints"), F.lit(FIRST_BYTES).alias("adaptiveMaxBytes"),
+    ]
+    if csv:
+        tags = listed(csv.get("tag_columns", {}).items(), ("source", "target"))
+        fields = listed([(s, t, k) for s, (t, k) in csv["field_columns"].items()], ("source", "target", "kind"))
+        members.append(F.struct(
+            text(csv.get("static_measurement")).alias("staticMeasurement"), text(csv.get("measurement_column")).alias("measurementColumn"),
+            F.lit(csv["timestamp_column"]).alias("timestampColumn"), *[c.alias("tags") for c in tags], *[c.alias("fields") for c in fields],
+        ).alias("csv"))
+    members += [c.alias("numericMappings") for c in listed(numeric or [], ("measurement", "field", "kind"))]
+    return struct_digest(*members)
+
+
 def text_list_digest(texts: list[str]) -> str:
     """One digest per plan: every text with its byte length in front."""
     digest = hashlib.sha256()

@@ -107,6 +107,16 @@ def search_schema(schema: DataFrame, needle: str) -> DataFrame:
     return schema.where(hit | db_hit).withColumn("match", F.when(hit, "measurement").otherwise("database"))
 
 
+def dedupe_last(points: DataFrame, order: list[str]) -> DataFrame:
+    """One point per series and time: the last in `order` (for files: source_file, split_start, row_id).
+
+    Without it both points stay. A map-side maximum, so a point sent very often costs one row per task.
+    """
+    rest = [c for c in points.columns if c not in ("series_key", "time_ns")]
+    last = points.groupBy("series_key", "time_ns").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
+    return last.select("series_key", "time_ns", "_last.*").select(*points.columns)
+
+
 # Fixed value: longest list of jobs.
 MAX_JOBS = 500
 

@@ -41,33 +41,33 @@ def verify_event_sequence(events: DataFrame, after: DataFrame | None = None) ->
     (log, number) shows which was asked for and not there. It combines on the map side and
     spreads even a single long log over all tasks, which an ordered window would not.
     """
-    good = events.where(valid_event())
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    claims = good.select(
-        "log_id",
-        F.explode(F.array(
-            F.struct(F.col("seq").alias("seq"), one.alias("have"), zero.alias("want")),
-            F.struct(numbers.increment_decimal(F.col("seq")).alias("seq"), zero.alias("have"), one.alias("want")),
-        )).alias("c"),
-    ).select("log_id", "c.*")
+
+    def claim(seq, have, want, bad):
+        return F.struct(seq.alias("seq"), have.alias("have"), want.alias("want"), bad.alias("bad"))
+
+    seq = F.col("seq")
+    claims = events.select("log_id", F.explode(
+        F.when(valid_event(), F.array(claim(seq, one, zero, zero), claim(numbers.increment_decimal(seq), zero, one, zero)))
+        .otherwise(F.array(claim(seq, zero, zero, one)))
+    ).alias("c")).select("log_id", "c.*")
     if after is not None:
-        claims = claims.unionByName(after.select(
-            "log_id", numbers.increment_decimal(F.col("seq")).alias("seq"), zero.alias("have"), one.alias("want")
-        ))
-    per_number = claims.groupBy("log_id", "seq").agg(F.sum("have").alias("have"), F.max("want").alias("want"))
-    heads = good.groupBy("log_id").agg(
-        F.max(F.struct(F.length("seq").alias("n"), F.col("seq").alias("seq"))).alias("head")
+        claims = claims.unionByName(after.select("log_id", claim(numbers.increment_decimal(seq), zero, one, zero).alias("c")).select("log_id", "c.*"))
+    per_number = claims.groupBy("log_id", "seq").agg(
+        F.sum("have").alias("have"), F.max("want").alias("want"), F.sum("bad").alias("bad"))
+    # The numbers that are there name the head too: both sides below share one scan and one shuffle.
+    heads = per_number.groupBy("log_id").agg(
+        F.max(F.when(F.col("have") > 0, F.struct(F.length("seq").alias("n"), seq.alias("seq")))).alias("head")
     ).select("log_id", F.col("head.seq").alias("head"))
-    # Few rows reach this join: numbers that are missing or doubled, and one end mark per log.
-    odd = per_number.where((F.col("have") != 1)).join(heads, "log_id")
-    problems = odd.where(
-        (F.col("have") > 1) | (numbers.compare_decimal(F.col("seq"), F.col("head")) <= 0)
-    ).select(
-        "log_id", "seq", F.when(F.col("have") > 1, "DUPLICATE").otherwise("GAP").alias("problem"),
-        F.col("have").alias("events"),
-    )
-    invalid = events.where(~valid_event()).groupBy("log_id", "seq").agg(F.count(F.lit(1)).alias("events"))
-    return problems.unionByName(invalid.select("log_id", "seq", F.lit("INVALID").alias("problem"), "events"))
+    # Few rows reach this join: numbers that are missing, doubled or invalid, and one end mark per log.
+    odd = per_number.where((F.col("have") != 1) | (F.col("bad") > 0)).join(heads, "log_id")
+    gap = (F.col("have") == 0) & (F.col("want") > 0) & (numbers.compare_decimal(seq, F.col("head")) <= 0)
+    found = F.array_compact(F.array(
+        F.when(F.col("have") > 1, F.struct(F.lit("DUPLICATE").alias("problem"), F.col("have").alias("events"))),
+        F.when(gap, F.struct(F.lit("GAP").alias("problem"), F.col("have").alias("events"))),
+        F.when(F.col("bad") > 0, F.struct(F.lit("INVALID").alias("problem"), F.col("bad").alias("events"))),
+    ))
+    return odd.select("log_id", "seq", F.explode(found).alias("p")).select("log_id", "seq", "p.problem", "p.events")
 
 
 def latest_snapshot(events: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from tidepoint.sources import artifacts
 MANIFEST_VERSION = "tidepoint.logical-export.v1"
 # Fixed value: white space that makes a leading character need quotes.
 SPACE_FIRST = r"^[\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+AMBIGUOUS = "NUMERIC_TYPE_AMBIGUOUS"
 WARNING = "A logical export is neither a backup nor a snapshot; it is not consistent at one point in time."
 
 
@@ -26,18 +27,22 @@ def write_canonical_lp(points_df: DataFrame, slices: DataFrame, directory: str)
     picks a slice width that bounds the points of the fullest slice.
     """
     spark = points_df.sparkSession
-    unwritable = points_df.where(F.col("canonical_lp").isNull()).take(1)
-    if unwritable:
-        raise RejectedInput("NUMERIC_TYPE_AMBIGUOUS")
+    # A point that cannot be written stops the write where it is met; nothing is evaluated beforehand.
+    line = F.coalesce("canonical_lp", F.raise_error(F.lit(AMBIGUOUS)).cast("string"))
     work = directory.rstrip("/") + "/_parts"
-    (
-        points_df.select("slice_ordinal", "series_key", "time_ns", "canonical_lp")
+    placed = (
+        points_df.select("slice_ordinal", "series_key", "time_ns", line.alias("canonical_lp"))
         .repartition("slice_ordinal")
         .sortWithinPartitions("slice_ordinal", "series_key", "time_ns", "canonical_lp")
         .select("slice_ordinal", "canonical_lp")
-        .write.mode("overwrite").partitionBy("slice_ordinal")
-        .option("compression", "gzip").option("maxRecordsPerFile", 0).text(work)
     )
+    try:
+        placed.write.mode("overwrite").partitionBy("slice_ordinal").option("compression", "gzip").option(
+            "maxRecordsPerFile", 0).text(work)
+    except Exception as error:
+        if AMBIGUOUS in str(error):
+            raise RejectedInput(AMBIGUOUS) from error
+        raise
     written = {}
     for path in files.listing(spark, work):
         if "slice_ordinal=" in path:
