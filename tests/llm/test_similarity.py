@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from helpers import AWKWARD, DOCS, docs, groups, lower, shingles, words
 
@@ -138,3 +139,57 @@ def test_near_copies_of_passages_are_found(spark):
 def test_passages_of_awkward_rows(spark):
     assert passages.repeated(docs(spark, AWKWARD)).collect() == []
     assert passages.repeated(spark.createDataFrame([], DOCS)).collect() == []
+
+
+class Task:
+    """Stands in for a sorted table: hands out the function that runs on one task's batches."""
+
+    schema = None
+
+    def __init__(self):
+        self.sparkSession = self.conf = self
+
+    def get(self, _):
+        return "8"
+
+    def repartitionByRange(self, *_):  # noqa: N802
+        return self
+
+    sortWithinPartitions = repartition = repartitionByRange
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def batches(names, rows, step):
+    for i in range(0, len(rows), step):
+        part = rows[i : i + step]
+        yield pa.RecordBatch.from_pydict({n: [r[k] for r in part] for k, n in enumerate(names)})
+
+
+def test_rows_alone_are_dropped_whatever_the_batches():
+    rng, colliding = random.Random(1), passages.colliding(Task())
+    for _ in range(1000):
+        step = rng.randrange(1, 6)
+        bands = [(b, i) for i, b in enumerate(sorted(rng.randrange(6) for _ in range(rng.randrange(1, 14))))]
+        got = [tuple(r.values()) for b in colliding(batches(("band", "start"), bands, step)) for r in b.to_pylist()]
+        must = {r for r in bands if sum(r[0] == b for b, _ in bands) > 1}
+        assert len(got) == len(set(got)) and must <= set(got) <= must | {bands[0], bands[-1]}
+
+
+def test_lines_meet_whatever_the_batches():
+    rng = random.Random(2)
+    for _ in range(1000):
+        step, small = rng.randrange(1, 6), rng.randrange(2, 4)
+        rows = sorted((rng.randrange(4), rng.choice([0, 0, 0, 5]), rng.randrange(6)) for _ in range(rng.randrange(1, 16)))
+        parts = [pa.RecordBatch.from_pylist([{"word": w, "salt": s, "key": k, "n": 1, "place": 0, "bits": 0} for w, s, k in rows[i : i + step]],
+                                            schema=line_dedup.POSTS) for i in range(0, len(rows), step)]
+        got = [r for b in line_dedup.meeting(Task(), small)(iter(parts)) for r in b.to_pylist()]
+        sets = {}
+        for w, s, k in rows:
+            sets.setdefault((w, s), set()).add(k)
+        pairs, members = {(r["key"], r["other"]) for r in got if r["other"] is not None}, {(r["word"], r["salt"], r["key"]) for r in got if r["other"] is None}
+        for (w, s), keys in sets.items():
+            inside = {k for k in keys if (w, s, k) in members}
+            # Either all of a word are members, or all its pairs are given.
+            assert inside == keys or (not s and len(keys) <= small and {(a, b) for a in keys for b in keys if a < b} <= pairs)
