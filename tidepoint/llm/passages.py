@@ -7,7 +7,7 @@ wherever it stands. A paragraph has some 13 words, so one of over 50 words holds
 Each paragraph gets BANDS bands of one least shingle hash (5 words), so any two paragraphs with Jaccard
 similarity of 0.75 or more collide but for one in sixteen, and equal ones always. Rows of one band lie side
 by side after a range sort in which a band may span tasks; those alone in their band are dropped on the
-spot. Colliding contents are verified on their full shingle sets, up to LEAF contents of a
+spot. Colliding contents whose 32-bit shingle maps differ too much are passed over, the others verified on their full shingle sets, up to LEAF contents of a
 band pairwise and more against the most frequent content of the band and of both bands together.
 Components of confirmed links are the clusters; within one, all but the first paragraph are removed.
 
@@ -71,21 +71,23 @@ def paragraphs(texts: pa.Array):
         yield first + rows[head], head - row_head[rows[head]], size, key, bands, shingle, head
 
 
-SCHEMA = pa.schema([("band", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("other", pa.int64())])
+SCHEMA = pa.schema([("band", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("other", pa.int64()), ("bits", pa.int32())])
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """band, doc_id, start, n, key, other (the next band): a row for each paragraph and band."""
+    """band, doc_id, start, n, key, other (the next band), bits (map of the shingles): a row for each paragraph and band."""
     def run(batches):
         for batch in batches:
-            for row, start, size, key, bands, _, _ in paragraphs(batch.column("text")):
+            for row, start, size, key, bands, shingle, head in paragraphs(batch.column("text")):
+                bit = np.where(shingle == TOP, np.uint32(0), np.uint32(1) << (shingle >> np.uint64(59)).astype(np.uint32))
+                bits = np.bitwise_or.reduceat(bit, head).view(np.int32)
                 doc = batch.column("doc_id").take(pa.array(row))
                 for b in range(BANDS):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(bands[b].view(np.int64)), doc, pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)),
-                        pa.array(key.view(np.int64)), pa.array(bands[(b + 1) % BANDS].view(np.int64))], schema=SCHEMA)
+                        pa.array(key.view(np.int64)), pa.array(bands[(b + 1) % BANDS].view(np.int64)), pa.array(bits)], schema=SCHEMA)
 
-    return docs.mapInArrow(run, "band long, doc_id long, start int, n int, key long, other long")
+    return docs.mapInArrow(run, "band long, doc_id long, start int, n int, key long, other long, bits int")
 
 
 def colliding(rows: DataFrame) -> DataFrame:
@@ -113,17 +115,19 @@ def colliding(rows: DataFrame) -> DataFrame:
 
 def key_pairs(rows: DataFrame) -> DataFrame:
     """a < b: contents that collide and may be similar."""
-    contents = stored(rows.groupBy("band", "key", "other", "n").agg(F.count(F.lit(1)).alias("f")), "passage-contents")
+    contents = stored(rows.groupBy("band", "key", "other", "n", "bits").agg(F.count(F.lit(1)).alias("f")), "passage-contents")
     sizes = contents.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     contents = contents.join(sizes, "band")
     few, many = contents.where(F.col("c") <= LEAF), contents.where(F.col("c") > LEAF)
-    pairs = few.select("band", F.col("key").alias("a"), "n").join(
-        few.select("band", F.col("key").alias("b"), F.col("n").alias("m")), "band").where("a < b")
+    # In sets with a similarity of 0.75 or more a seventh of both sizes differs at most, and so many bits of the maps.
+    near = F.expr("a <> b and 7 * bit_count(bits ^ map) <= greatest(n - 4, 1) + greatest(m - 4, 1)")
+    pairs = few.select("band", F.col("key").alias("a"), "n", "bits").join(
+        few.select("band", F.col("key").alias("b"), F.col("n").alias("m"), F.col("bits").alias("map")), "band").where(near & F.expr("a < b"))
     for group in (["band"], ["band", "other"]):
-        top = many.groupBy(*group).agg(F.max(F.struct("f", "key", "n")).alias("t")).select(*group, F.col("t.key").alias("b"), F.col("t.n").alias("m"))
-        pairs = pairs.unionByName(many.select(*group, F.col("key").alias("a"), "n").join(top, group).where("a <> b").select("band", "a", "n", "b", "m"))
-    # n - 4 shingles at most; with distinct ones missing the exact check decides.
-    return pairs.where("100 * least(n, m) >= 60 * greatest(n, m)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        top = many.groupBy(*group).agg(F.max(F.struct("f", "key", "n", "bits")).alias("t")).select(
+            *group, F.col("t.key").alias("b"), F.col("t.n").alias("m"), F.col("t.bits").alias("map"))
+        pairs = pairs.unionByName(many.select(*group, F.col("key").alias("a"), "n", "bits").join(top, group).where(near).select(*pairs.columns))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
