@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import AWKWARD, DOCS, docs, groups, lower, shingles, words
@@ -69,6 +70,17 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_signatures_of_long_texts_tell_them_apart(spark):
+    rng = np.random.default_rng(6)
+    rows = [rng.integers(0, 1 << 20, 500_000) for _ in range(12)]
+    rows[8] = rows[4].copy()
+    rows[8][rng.integers(0, 500_000, 2000)] = 0
+    a, b = (near_dedup.signature(next(near_dedup.shingle_sets(pa.array([" ".join(map(str, rows[i]))])))[1]) for i in (4, 5))
+    assert (a == b).sum() <= 1
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, [(i, " ".join(map(str, r))) for i, r in enumerate(rows)])).collect()}
+    assert got == {i: 4 if i == 8 else i for i in range(12)}
+
+
 def test_components_of_chain_star_and_ring(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 201), (201, 202), (202, 200)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}

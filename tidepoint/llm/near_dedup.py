@@ -82,11 +82,11 @@ def shingle_sets(texts: pa.Array):
 
 
 def signature(values: np.ndarray) -> np.ndarray:
-    """128 least values, cut to 16 bits each."""
+    """The low 16 bits of 128 least values: the high ones of a least value are 0 in long texts, the low ones are even at any length."""
     least = np.full(VALUES, 2**64 - 1, np.uint64)
     for i in range(0, len(values), 512):  # bounds the memory a long text takes
         least = np.minimum(least, mix(values[i : i + 512, None] * FACTORS + SHIFTS).min(0))
-    return (least >> np.uint64(48)).astype(np.uint16)
+    return (least & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
