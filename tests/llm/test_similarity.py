@@ -70,6 +70,31 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def template_rows():
+    """Pages of one template that are some 0.7 alike, among them pairs at 0.76; no page is near two others."""
+    rng = random.Random(21)
+    base = [f"t{k}" for k in range(400)]
+
+    def page(own):
+        return own + base
+
+    rows = [page([f"p{i}x{k}" for k in range(rng.randrange(86, 89))]) for i in range(300)]
+    for i in range(0, 160, 4):  # three tenths of the own words in common
+        rows[i + 1] = rows[i][:26] + rows[i + 1][26:]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    return [(i, " ".join(rows[k])) for i, k in enumerate(order)]
+
+
+def test_pairs_inside_a_template_are_found(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 3)
+    rows = template_rows()
+    _, expected = brute(rows)
+    assert sum(c != i for i, c in expected.items()) == 40
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == expected
+
+
 def test_signatures_of_long_texts_tell_them_apart(spark):
     rng = np.random.default_rng(6)
     rows = [rng.integers(0, 1 << 20, 500_000) for _ in range(12)]

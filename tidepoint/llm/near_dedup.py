@@ -9,14 +9,19 @@ centre and is split by longer prefixes, down to 16 values. The centre is the cla
 others over all trees: in a crowd of copies with random edits that is their common origin, so a
 crowd costs one pair for each member and region and not its square.
 
+What the centres of dense regions leave open is found exactly: the classes of dense regions meet on
+their rarest shingles (two sets with a similarity of 0.75 or more share one among the first
+n - ceil(6n/7) + 1 of the smaller and n - ceil(3n/4) + 1 of the larger) and pass length and positional
+filters. Pairs inside a component found before need no look; a shingle that one component alone
+holds is dropped, and the members of its largest component meet only those outside it.
+
 Pairs are first compared by size and signature (six standard errors below the threshold stay in),
 then on their full sets. Of a class's pairs the most alike is checked first; pairs
 inside a component so found need no check, all others get one. Components of confirmed links
 decide: the smallest doc_id reachable is kept.
 
-At the threshold of 0.75 a pair shares a prefix of 4 values in some tree but for 5 in a million; in
-denser regions the miss rate of a single borderline pair grows with the depth (2 in a hundred at
-8 values), while membership in a crowd is decided by its centre.
+At the threshold of 0.75 a pair shares a prefix of 4 values in some tree but for 5 in a million, and
+so is either a pair of a small region or one of dense regions' classes.
 
 Null or wordless text has an empty set and is linked with nothing. Rows with one doc_id are one
 document: their links are united. A null doc_id takes part under no name: its row has the
@@ -45,6 +50,8 @@ DEPTHS = (4, 6, 8, 11, 16)
 LEAF = 10
 SLACK = 0.23  # six standard errors of a similarity of 0.75 estimated from 128 values
 BROADCAST_IDS = 1_000_000  # 16 MB
+COUNTERS = 1 << 20  # 8 MB
+POST_ROWS = 1 << 20
 _rng = np.random.default_rng(20240301)
 FACTORS = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _rng.integers(0, 2**63, VALUES, dtype=np.uint64)
@@ -140,8 +147,8 @@ def _similar_size(a: str, b: str):
     return PERCENT * F.greatest(a, b) <= 100 * F.least(a, b)
 
 
-def forest_pairs(classes: DataFrame) -> DataFrame:
-    """a < b: candidate pairs of `classes` (id, n, sig)."""
+def forest_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a < b: candidate pairs of `classes` (id, n, sig); id: the classes of dense regions."""
     found, above = [], None
     for level in range(len(DEPTHS)):
         if level == 0:
@@ -156,6 +163,8 @@ def forest_pairs(classes: DataFrame) -> DataFrame:
         other = leaf.select("bucket", F.col("id").alias("b"), F.col("n").alias("m"))
         found.append(leaf.join(other, "bucket").where((F.col("id") < F.col("b")) & _similar_size("n", "m")).select(F.col("id").alias("a"), "b"))
         dense = rows.where(F.col("c") > LEAF)
+        if level == 0:
+            crowded = dense.select("id").distinct()
         if dense.isEmpty():
             break
         centre = dense.join(meets, "id").groupBy("bucket").agg(F.max(F.struct("meets", -F.col("id"), "id", "n")).alias("top"))
@@ -166,7 +175,78 @@ def forest_pairs(classes: DataFrame) -> DataFrame:
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
-    return pairs.distinct()
+    return pairs.distinct(), crowded
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
+
+
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """COUNTERS sums of shingles over the sets, the shingles sharing them by hash."""
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for packed in batch.column("shingles"):
+                np.add.at(total, _counter(unpacked(packed.as_py())), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["counter", "n"])
+
+    rows = sets.select("shingles").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[rows["counter"].to_numpy()] = rows["n"].to_numpy()
+    return counts
+
+
+def posts(sets: DataFrame, counts) -> DataFrame:
+    """shingle, id, n, place, first: the leading rare shingles of every set; first: also within the prefix of a smaller set."""
+    def out(parts):
+        size, length, ids, lead = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        place = np.arange(len(lead)) - np.repeat(np.cumsum(length) - length, length)
+        n = np.repeat(size, length)
+        return pa.RecordBatch.from_arrays([
+            pa.array(lead.view(np.int64)), pa.array(np.repeat(ids, length)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)),
+            pa.array(place <= n - (6 * n + 6) // 7)], ["shingle", "id", "n", "place", "first"])
+
+    def run(batches):
+        parts, rows = [], 0
+        for batch in batches:
+            for i, packed in zip(batch.column("id").to_numpy(), batch.column("shingles")):
+                s = unpacked(packed.as_py())
+                n = len(s)
+                length = n - (PERCENT * n + 99) // 100 + 1
+                lead = s[np.lexsort((s, counts.value[_counter(s)]))[:length]]
+                parts.append(([n], [length], [i], lead))
+                rows += length
+                if rows > POST_ROWS:
+                    yield out(parts)
+                    parts, rows = [], 0
+        if parts:
+            yield out(parts)
+
+    return sets.mapInArrow(run, "shingle long, id long, n int, place int, first boolean")
+
+
+def crowd_pairs(sets: DataFrame, named: DataFrame) -> DataFrame:
+    """a < b: all pairs of `sets` (id, shingles) that can reach the threshold and do not share a component of `named`."""
+    counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+    rows = stored(posts(sets, counts).join(named, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-posts")
+    shared = rows.groupBy("shingle").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.max("first").alias("f")).where("f and l < h")
+    rows = stored(rows.join(shared.select("shingle"), "shingle", "left_semi"), "near-posts")
+    main = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(
+        F.max(F.struct("c", "component")).alias("m")).select("shingle", F.col("m.component").alias("main"))
+    rest = rows.join(main, "shingle").where("component <> main")
+    meet = F.expr("""a.shingle = b.shingle and a.component <> b.component and (b.component = a.main or a.id < b.id)
+        and (a.first and a.n <= b.n or b.first and b.n <= a.n)
+        and 7L * least(a.n - a.place, b.n - b.place) >= 3L * (a.n + b.n)""")
+    return rest.alias("a").join(rows.alias("b"), meet & _similar_size("a.n", "b.n")).select(
+        F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -202,16 +282,11 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    def unpack(packed):
-        wide = np.zeros((len(packed) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-        return wide.view(np.uint64).ravel()
-
     def run(batches):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = unpack(x.as_py()), unpack(y.as_py())
+                x, y = unpacked(x.as_py()), unpacked(y.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -228,8 +303,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(sketch.where("set_key is not null").groupBy("set_key").agg(
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n_shingles", "sig"))).alias("s")
     ).where("s is not null").select("set_key", F.col("s.doc_id").alias("id"), F.col("s.n_shingles").cast("int").alias("n"), "s.sig"), "near-classes")
-    pairs = stored(likely(forest_pairs(classes), classes), "near-pairs")
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
+    found, crowded = forest_pairs(classes)
+    pairs, crowded = stored(likely(found, classes), "near-pairs"), stored(crowded, "near-crowded")
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded).distinct(), "near-ids")
     sets = stored(full_sets(docs, ids), "near-sets")
     best = pairs.select("a", "b", "alike").union(pairs.select("b", "a", "alike")).groupBy("a").agg(
         F.max(F.struct("alike", -F.col("b"), "b")).alias("top")).select("a", "top.b")
@@ -243,7 +319,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(done, ["a", "b"], "left_anti")
     more = stored(confirmed(rest, sets), "near-links")
     if not more.isEmpty():
-        named = stored(components(links.union(more)), "near-components")
+        links = links.union(more)
+        named = stored(components(links), "near-components")
+    if not crowded.isEmpty():
+        left = likely(crowd_pairs(sets.join(crowded, "id", "left_semi"), named), classes).select("a", "b")
+        more = stored(confirmed(left.join(done.union(rest), ["a", "b"], "left_anti"), sets), "near-links")
+        if not more.isEmpty():
+            named = stored(components(links.union(more)), "near-components")
     known = classes.select("set_key", "id").join(named, "id", "left").select(
         "set_key", F.coalesce("component", "id").alias("component"))
     return sketch.drop("sig").join(known, "set_key", "left").select(
