@@ -173,6 +173,21 @@ def test_near_copies_of_passages_are_found(spark):
     assert sum(i in got for i in many) >= 0.9 * len(many)
 
 
+def test_similar_paragraphs_of_hot_bands_are_found(spark, monkeypatch):
+    """Pairs of texts with an edit beside one frequent phrase: hot bands lose none of what comparing all their pairs finds."""
+    rng, rows = random.Random(12), []
+    for i in range(400):
+        body = [f"q{i}x{k}" for k in range(7)] + "one very common phrase here".split() + [f"r{i}x{k}" for k in range(7)]
+        edited = list(body)
+        edited[rng.choice([3, 4, 5, 13, 14, 15])] = f"z{i}"
+        rows += [" ".join(body), " ".join(edited)]
+    rng.shuffle(rows)
+    rows = docs(spark, list(enumerate(rows))).cache()
+    got = sum(r.removed_words for r in passages.repeated(rows, 5).collect())
+    monkeypatch.setattr(passages, "LEAF", 10**6)
+    assert got >= sum(r.removed_words for r in passages.repeated(rows, 5).collect()) > 0
+
+
 def test_passages_of_awkward_rows(spark):
     assert passages.repeated(docs(spark, AWKWARD)).collect() == []
     assert passages.repeated(spark.createDataFrame([], DOCS)).collect() == []

@@ -50,7 +50,7 @@ DEPTHS = (4, 6, 8, 11, 16)
 LEAF = 10
 SLACK = 0.23  # six standard errors of a similarity of 0.75 estimated from 128 values
 BROADCAST_IDS = 1_000_000  # 16 MB
-COUNTERS = 1 << 20  # 8 MB
+COUNTERS = 1 << 18  # 2 MB
 POST_ROWS = 1 << 20
 _rng = np.random.default_rng(20240301)
 FACTORS = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -198,9 +198,9 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["counter", "n"])
 
-    rows = sets.select("shingles").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    rows = sets.select("shingles").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
-    counts[rows["counter"].to_numpy()] = rows["n"].to_numpy()
+    counts[rows.column("counter").to_numpy()] = rows.column("n").to_numpy()
     return counts
 
 

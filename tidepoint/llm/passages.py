@@ -8,8 +8,9 @@ Each paragraph gets BANDS bands of one least shingle hash (5 words), so any two
 similarity of 0.75 or more collide but for one in sixteen, and equal ones always. Rows of one band lie side
 by side after a range sort in which a band may span tasks; those alone in their band are dropped on the
 spot. Colliding contents whose 32-bit shingle maps differ too much are passed over, the others verified on their full shingle sets, up to LEAF contents of a
-band pairwise and more against the most frequent content of the band and of both bands together.
-Components of confirmed links are the clusters; within one, all but the first paragraph are removed.
+band pairwise and more against the most frequent content of the band and of both bands together. The
+contents of such hot bands also meet on their rarest shingles in an exact join (near_dedup.crowd_pairs), but for
+pairs that share a component by then. Components of confirmed links are the clusters; within one, all but the first paragraph are removed.
 
 Reported are runs of adjacent repeated paragraphs of at least LEAST words whose clusters span several documents;
 a passage of over 50 words keeps that many after the loss at both ends. Null text has no words. Repeated rows of
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from tidepoint.llm.catalog import query
 from tidepoint.llm.common import fresh, stored, table
 from tidepoint.llm.graph import components
+from tidepoint.llm.near_dedup import crowd_pairs
 from tidepoint.llm.words import LOWER_KEYS, POSITION, SPACED, mix, text_slices, windows, words_of
 
 REACH, BANDS, SHINGLE, PERCENT, LEAF, LEAST = 6, 2, 5, 75, 8, 24
@@ -113,8 +115,8 @@ def colliding(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(n, "band", "doc_id", "start").sortWithinPartitions("band").mapInArrow(run, rows.schema)
 
 
-def key_pairs(rows: DataFrame) -> DataFrame:
-    """a < b: contents that collide and may be similar."""
+def key_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a < b: contents that collide and may be similar; key: the contents of hot bands."""
     contents = stored(rows.groupBy("band", "key", "other", "n", "bits").agg(F.count(F.lit(1)).alias("f")), "passage-contents")
     sizes = contents.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     contents = contents.join(sizes, "band")
@@ -127,11 +129,12 @@ def key_pairs(rows: DataFrame) -> DataFrame:
         top = many.groupBy(*group).agg(F.max(F.struct("f", "key", "n", "bits")).alias("t")).select(
             *group, F.col("t.key").alias("b"), F.col("t.n").alias("m"), F.col("t.bits").alias("map"))
         pairs = pairs.unionByName(many.select(*group, F.col("key").alias("a"), "n", "bits").join(top, group).where(near).select(*pairs.columns))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Contents of less than a shingle are alone in their band or equal.
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), many.where(f"n >= {SHINGLE}").select("key").distinct()
 
 
-def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the threshold; each content is read where it first stands."""
+def shingle_sets(docs: DataFrame, rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, shingles (8 bytes each, sorted) of the named contents; each is read where it first stands."""
     def sets(batches):
         for batch in batches:
             wanted = [dict.fromkeys(x) for x in batch.column("wanted").to_pylist()]
@@ -144,6 +147,16 @@ def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
                         out["shingles"].append(np.unique(s[s != TOP]).tobytes())
             yield pa.RecordBatch.from_pydict(out, pa.schema([("key", pa.int64()), ("shingles", pa.binary())]))
 
+    where = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("w"))
+    wanted = stored(where.groupBy("w.doc_id").agg(F.collect_list("w.start").alias("wanted")), "passage-wanted")
+    small = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    wanted = wanted.withColumnRenamed("doc_id", "_d")
+    texts = docs.join(F.broadcast(wanted) if small <= BROADCAST_PARTS else wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "wanted")
+    return texts.mapInArrow(sets, "key long, shingles binary").dropDuplicates(["key"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach the threshold."""
     def check(batches):
         for batch in batches:
             ok = []
@@ -153,23 +166,41 @@ def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
                 ok.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    where = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("w"))
-    wanted = stored(where.groupBy("w.doc_id").agg(F.collect_list("w.start").alias("wanted")), "passage-wanted")
-    small = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    wanted = wanted.withColumnRenamed("doc_id", "_d")
-    texts = docs.join(F.broadcast(wanted) if small <= BROADCAST_PARTS else wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "wanted")
-    found = stored(texts.mapInArrow(sets, "key long, shingles binary").dropDuplicates(["key"]), "passage-sets")
-    x, y = found.select(F.col("key").alias("a"), F.col("shingles").alias("x")), found.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    x, y = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(x, "a").join(y, "b").mapInArrow(check, "a long, b long")
 
 
+def packed(sets: DataFrame) -> DataFrame:
+    """id, shingles (5 bytes each) of the sets that have any."""
+    def run(batches):
+        for batch in batches:
+            cut = [np.unique(np.frombuffer(s.as_py(), np.uint64) & np.uint64((1 << 40) - 1)) for s in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([s.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for s in cut], pa.binary())], ["id", "shingles"])
+
+    return sets.where(F.length("shingles") > 0).mapInArrow(run, "id long, shingles binary")
+
+
+def clusters_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, component of the contents that are linked with another."""
+    pairs, hot = key_pairs(rows)
+    pairs, hot = stored(pairs, "passage-pairs"), stored(hot, "passage-hot")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(hot).distinct()
+    sets = stored(shingle_sets(docs, rows, keys), "passage-sets")
+    links = stored(confirmed(pairs, sets), "passage-links")
+    named = stored(components(links), "passage-components")
+    if not hot.isEmpty():
+        rest = crowd_pairs(packed(sets.join(hot, "key", "left_semi")), named).join(pairs, ["a", "b"], "left_anti")
+        more = stored(confirmed(rest, sets), "passage-links")
+        if not more.isEmpty():
+            named = components(links.union(more))
+    return named
+
+
 def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, start (word), n_words, first_doc, removed_words: runs of words that other documents hold too."""
     docs = fresh(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = stored(colliding(banded(docs)), "passage-rows")
-    links = stored(confirmed(docs, rows, stored(key_pairs(rows), "passage-pairs")), "passage-links")
-    named = components(links)
+    named = clusters_of(docs, rows)
     parts = rows.groupBy("doc_id", "start", "n", "key").agg(F.count(F.lit(1)).alias("_k")).drop("_k")
     parts = parts.join(named.withColumnRenamed("id", "key"), "key", "left").select(
         "doc_id", "start", "n", F.coalesce("component", "key").alias("cluster"))
