@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tidepoint.llm import (  # noqa: F401
-    decontaminate, line_dedup, line_quality, mixing, near_dedup, passages, ring, secret_ledger, token_rollup, warc,
+    centroids, decontaminate, exact_dedup, line_dedup, line_quality, mixing, near_dedup, passages, phrases, ring, secret_ledger, token_rollup,
+    warc,
 )
 from tidepoint.llm.catalog import ORACLES, QUERIES
 
