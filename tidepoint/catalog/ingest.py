@@ -309,23 +309,29 @@ def reconcile_statements(spark, sf):
     return responses.reconcile_statements(chunks, 3)
 
 
+ANSWERS = 32  # files; each holds many hosts and is read in ranges
+
+
 @query(
     "query_responses",
     f"""
     SELECT CAST(user_id AS VARCHAR) AS host, row_number() OVER (PARTITION BY user_id ORDER BY time_ns, event_id) - 1 AS row_index,
            CAST(time_ns AS VARCHAR) AS time, 'uint64' AS id_kind, CAST(event_id AS VARCHAR) AS id, 'numeric_text' AS value_kind,
-           CAST(value AS VARCHAR) || 'e0' AS value, event_type AS type FROM {E}
+           CAST(value AS VARCHAR) || 'e0' AS value, event_type AS type,
+           CASE user_id % {ANSWERS} WHEN 3 THEN 'FAILED_INCOMPLETE_RESPONSE' WHEN 5 THEN 'FAILED_PROTOCOL' WHEN 7 THEN 'FAILED_SERVER'
+               WHEN 9 THEN 'FAILED_PROTOCOL' END AS answer
+    FROM {E}
     """,
 )
 def query_responses(spark, sf):
-    """Answers written as files of chunk objects, then decoded with exact number tokens."""
+    """Answers written as files of chunk objects, closed, unfinished or broken, then decoded with exact number tokens and judged."""
     path = shared_dir(spark, "responses")
     e = table(spark, sf, "events")
     ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
     row = F.concat(F.lit("["), ns, F.lit(","), F.col("event_id"), F.lit(","), F.col("value").cast("string"), F.lit('e0,"'), F.col("event_type"), F.lit('"]'))
-    keyed = e.select(F.col("user_id").cast("string").alias("host"), ns.alias("t"), "event_id", row.alias("r"))
+    keyed = e.select(F.col("user_id").alias("host"), ns.alias("t"), "event_id", row.alias("r"))
     numbered = results.number_rows(keyed, ["host"], ["t", "event_id"], aggregate.bucket_ns(DAY, "t"))
-    # A chunk holds at most 50 rows of one series; a file holds whole chunks in order.
+    # A chunk holds at most 50 rows of one series.
     chunked = numbered.withColumn("chunk", F.floor(F.col("row_index") / 50)).groupBy("host", "chunk").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "r"))), lambda x: x["r"]), ",").alias("rows")
     )
@@ -333,23 +339,56 @@ def query_responses(spark, sf):
         F.lit('{"results":[{"statement_id":0,"partial":true,"series":[{"name":"events","tags":{"host":"'), "host",
         F.lit('"},"columns":["time","id","value","type"],"values":['), "rows", F.lit("]}]}]}"),
     )
-    chunked.select("host", "chunk", body.alias("value")).repartitionByRange("host", "chunk").sortWithinPartitions(
-        "host", "chunk").select("value").write.text(path)
+    file = F.pmod("host", F.lit(ANSWERS)).cast("int")
+    chunks = chunked.select(file.alias("file"), F.lit(0).alias("last"), "host", "chunk", body.alias("value"))
+    # What ends each file: nothing, a statement that was not asked for, an error, half a chunk, or the proper end.
+    closing = F.when(F.col("file") == 5, '{"results":[{"statement_id":1}]}').when(F.col("file") == 7, '{"error":"engine \\"}{\\" stopped"}').when(
+        F.col("file") == 9, '{"results":[{"statement_id":0}]').otherwise('{"results":[{"statement_id":0}]}')
+    ends = chunks.select("file").distinct().where("file <> 3").select(
+        "file", F.lit(1).alias("last"), F.lit(None).cast("long").alias("host"), F.lit(None).cast("long").alias("chunk"), closing.alias("value"))
+    place = ["file", "last", "host", "chunk"]
+    chunks.unionByName(ends).repartition("file").sortWithinPartitions(*place).select("file", "value").write.partitionBy("file").text(path)
     kinds = spark.createDataFrame([("events", "id", "uint64")], "measurement string, field string, kind string")
-    # Files split a series; its rows are numbered per file, so the file position leads.
-    rows, _ = responses.read_query_responses(spark, path, 1, schema=kinds)
+    rows, verdicts = responses.read_query_responses(spark, path, 1, schema=kinds)
     c = F.col("cells")
     flat = rows.select(
         F.try_element_at("tags", F.lit("host")).alias("host"), "source_file", "row_index", c[0]["decimal_text"].alias("time"),
         c[1]["kind"].alias("id_kind"), c[1]["decimal_text"].alias("id"), c[2]["kind"].alias("value_kind"),
         c[2]["decimal_text"].alias("value"), c[3]["string_value"].alias("type"),
     )
-    before = flat.groupBy("host", "source_file").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
+    return flat.join(verdicts.select("source_file", F.col("code").alias("answer")), "source_file", "left").drop("source_file")
+
 
-    files = Window.partitionBy("host").orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
-    base = before.select("host", "source_file", F.coalesce(F.sum("n").over(files), F.lit(0)).alias("base"))
-    return flat.join(base, ["host", "source_file"]).withColumn("row_index", F.col("row_index") + F.col("base")).drop("source_file", "base")
+@query(
+    "schema_responses",
+    """
+    WITH t AS (SELECT DISTINCT o_orderpriority AS measurement, 's' || o_orderstatus AS name FROM orders),
+    f AS (SELECT DISTINCT o_orderpriority AS measurement, 'y' || year(o_orderdate) AS name,
+          CASE WHEN o_orderpriority = '5-LOW' AND year(o_orderdate) = 1994 THEN o_orderstatus ELSE CAST(year(o_orderdate) % 5 AS VARCHAR) END AS k FROM orders),
+    g AS (SELECT measurement, name, max(CASE k WHEN '0' THEN 'float64' WHEN '1' THEN 'int64' WHEN '2' THEN 'uint64' WHEN '3' THEN 'string' WHEN '4' THEN 'boolean'
+          WHEN 'F' THEN 'int64' WHEN 'O' THEN 'string' END) AS kind, bool_or(k = 'P') OR count(DISTINCT k) > 1 AS bad FROM f GROUP BY measurement, name)
+    SELECT measurement, name, 'tag' AS role, CAST(NULL AS VARCHAR) AS kind, CASE WHEN measurement = '4-NOT SPECIFIED' THEN 'SCHEMA_DRIFT' END AS code FROM t
+    UNION ALL SELECT measurement, name, 'field', kind, CASE WHEN bad THEN 'SCHEMA_DRIFT' END FROM g
+    """,
+)
+def schema_responses(spark, sf):
+    """Tag-key and field-key answers, one file a measurement and kind, read back as a schema. One measurement's tag answer is not finished,
+    one field comes with several types or an unknown one."""
+    path = shared_dir(spark, "schema-responses")
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("name"), "o_orderstatus", F.year("o_orderdate").alias("year"))
+    odd = (F.col("name") == "5-LOW") & (F.col("year") == 1994)
+    types = F.array(*map(F.lit, ["float", "integer", "unsigned", "string", "boolean"]))
+    kind = F.when(odd, F.expr("element_at(map('F', 'integer', 'O', 'string', 'P', 'complex'), o_orderstatus)")).otherwise(F.get(types, F.col("year") % 5))
+    tags = o.select("name", F.array(F.concat(F.lit("s"), "o_orderstatus")).alias("row"), F.array(F.lit("tagKey")).alias("columns"))
+    fields = o.select("name", F.array(F.concat(F.lit("y"), F.col("year").cast("string")), kind).alias("row"),
+                      F.array(F.lit("fieldKey"), F.lit("fieldType")).alias("columns"))
+    answer = tags.union(fields).groupBy("name", "columns").agg(F.collect_set("row").alias("values"))
+    unfinished = (F.col("name") == "4-NOT SPECIFIED") & (F.size("columns") == 1)
+    series = F.array(F.struct("name", "columns", "values"))
+    body = F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("statement_id"), unfinished.alias("partial"), series.alias("series"))).alias("results")))
+    file = F.concat(F.substring("name", 1, 1), F.size("columns").cast("string"))
+    answer.select(file.alias("file"), body.alias("value")).repartition("file").write.partitionBy("file").text(path)
+    return responses.read_schema_responses(spark, path, 1)
 
 
 @query("line_protocol_gz", f"SELECT {EVENT_LINE} AS canonical_lp FROM {E}")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepoint.functions.work import shared_dir  # noqa: F401
 from tidepoint.sources import tables
 
 QUERIES: dict = {}
@@ -81,16 +79,6 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """New folder that all executors see: below spark.checkpoint.dir, which a cluster must name."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None or (root.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local")):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = root or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # SQL that several oracles share.
 E = "(SELECT event_id, epoch_us(ts) * 1000 AS time_ns, event_type, user_id, value, props FROM events)"
 O = "(SELECT *, epoch_us(o_orderdate) * 1000 AS time_ns FROM orders)"

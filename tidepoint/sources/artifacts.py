@@ -21,19 +21,32 @@ VERDICT_SCHEMA = (
 BLOCK = 4 * 1024 * 1024
 
 
-def open_stream(path: str):
-    """Open a file named by URI for streaming, on whatever file system it lives."""
+def file_system(path: str):
+    """(file system, path on it) of a URI; the Hadoop names of S3 mean S3."""
     from pyarrow import fs
 
+    path = re.sub("^s3[an]://", "s3://", path)
     if path.startswith("file:"):
-        local = path[5:]
-        while local.startswith("//"):
-            local = local[1:]
-        return fs.LocalFileSystem().open_input_stream(local, compression=None)
-    filesystem, inner = fs.FileSystem.from_uri(path)
+        return fs.LocalFileSystem(), re.sub("^//+(?=/)", "", path[5:])
+    return fs.FileSystem.from_uri(path)
+
+
+def open_stream(path: str):
+    """Open a file named by URI for streaming, on whatever file system it lives."""
+    filesystem, inner = file_system(path)
     return filesystem.open_input_stream(inner, compression=None)
 
 
+def open_range(path: str, start: int):
+    """A stream of the file's bytes from `start` on."""
+    if start == 0:
+        return open_stream(path)
+    filesystem, inner = file_system(path)
+    stream = filesystem.open_input_file(inner)
+    stream.seek(start)
+    return stream
+
+
 def inspect_gzip(stream, limit: int) -> dict:
     """Read one file once, in blocks: digest, sizes, and whether it is exactly one sound member."""
     digest, size, plain, newlines = hashlib.sha256(), 0, 0, 0

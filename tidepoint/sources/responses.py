@@ -3,77 +3,36 @@
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepoint.functions import identity, numbers, points
 from tidepoint.functions.joins import bounded_broadcast
+from tidepoint.functions.work import stored
 from tidepoint.model import FIELD_TYPE_KIND, MAX_CHUNK_BYTES, SCHEMA_DRIFT
-from tidepoint.sources.artifacts import list_files, open_stream
+from tidepoint.sources import framing
+from tidepoint.sources.artifacts import list_files
 
 # --- Fixed values: codes of a whole answer --------------------------------------
-PROTOCOL = "FAILED_PROTOCOL"
+PROTOCOL = framing.NOT_AN_OBJECT
 EMPTY_RESPONSE = "FAILED_EMPTY_RESPONSE"
 SERVER = "FAILED_SERVER"
 INCOMPLETE = "FAILED_INCOMPLETE_RESPONSE"
-TOO_LARGE = "FAILED_RESPONSE_TOO_LARGE"
+TOO_LARGE = framing.TOO_LARGE
 
-CHUNK_SCHEMA = (
-    "source_file string, chunk_no bigint, code string, statement_id bigint, error string, "
-    "partial boolean, series_no int, name string, tags map<string,string>, "
-    "columns array<string>, cells array<array<struct<t:string,v:string>>>"
+SERIES_SCHEMA = (
+    "code string, statement_id bigint, error string, partial boolean, series_no int, name string, "
+    "tags map<string,string>, columns array<string>, cells array<array<struct<t:string,v:string>>>"
 )
-_NAMES = [
-    "source_file", "chunk_no", "code", "statement_id", "error", "partial", "series_no", "name", "tags", "columns", "cells",
-]
+_NAMES = ["code", "statement_id", "error", "partial", "series_no", "name", "tags", "columns", "cells"]
 
 
 class _Number(str):
     """Number token exactly as it was written."""
 
 
-_SPACE = re.compile(rb"[ \t\r\n]*")
-# A whole string, a bracket, or the quote of a string that ends beyond the buffer.
-_TOKEN = re.compile(rb'"(?:[^"\\]++|\\.)*+"|[{}\[\]]|"', re.S)
-_STEP = {b"{": 1, b"[": 1, b"}": -1, b"]": -1}
-
-
-def _frames(stream, limit: int):
-    """Yield (text, problem) for each top-level JSON object; stops at the first problem."""
-    buffer, start, at, depth = b"", 0, 0, 0
-    while True:
-        block = stream.read(1 << 20)
-        buffer, at, start = buffer[start:] + block, at - start, 0
-        while True:
-            if depth == 0:
-                start = at = _SPACE.match(buffer, start).end()
-                if start == len(buffer):
-                    break
-                if buffer[start] != 0x7B:
-                    yield None, PROTOCOL
-                    return
-            for token in _TOKEN.finditer(buffer, at):
-                if token[0] == b'"':
-                    break
-                at = token.end()
-                depth += _STEP.get(token[0], 0)
-                if depth == 0:
-                    break
-            if (at if depth == 0 else len(buffer)) - start > limit:
-                yield None, TOO_LARGE
-                return
-            if depth:
-                break
-            yield buffer[start:at], None
-            start = at
-        if not block:
-            if depth:
-                yield None, PROTOCOL
-            return
+_frames = framing.frames
 
 
 def _cell(value):
@@ -132,36 +91,27 @@ def _chunk_rows(text: bytes) -> list[dict]:
     return rows or [head]
 
 
-def read_chunks(spark: SparkSession, path, limit: int = MAX_CHUNK_BYTES) -> DataFrame:
+def _safe_rows(text: bytes) -> list[dict]:
+    try:
+        return _chunk_rows(text)
+    except (ValueError, AttributeError, ArithmeticError, TypeError):
+        return [{"code": PROTOCOL}]
+
+
+def read_chunks(
+    spark: SparkSession, path, limit: int = MAX_CHUNK_BYTES, split_bytes: int = framing.SPLIT_BYTES,
+) -> DataFrame:
     """One row per series of every chunk; number tokens are kept as written.
 
-    Python tokenises, because Spark's JSON readers rewrite number text. A file is
-    streamed chunk by chunk; memory holds one chunk.
+    Python tokenises, because Spark's JSON readers rewrite number text. Files are cut in byte ranges, a task's memory
+    holds one chunk, and what is parsed is stored, so that rows and verdicts come from one pass.
     """
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(rows):
-            out = pd.DataFrame(rows, columns=_NAMES, dtype=object)
-            return out.where(out.notna(), None)
-
-        for batch in batches:
-            for name in batch["path"]:
-                count = 0
-                with open_stream(name) as stream:
-                    for text, problem in _frames(stream, limit):
-                        if problem is None:
-                            try:
-                                rows = _chunk_rows(text)
-                            except (ValueError, AttributeError, ArithmeticError, TypeError):
-                                rows = [{"code": PROTOCOL}]
-                        else:
-                            rows = [{"code": problem}]
-                        yield frame([{"source_file": name, "chunk_no": count, **r} for r in rows])
-                        count += 1
-                if count == 0:
-                    yield frame([{"source_file": name, "chunk_no": 0, "code": EMPTY_RESPONSE}])
-
-    return list_files(spark, path).select("path").repartition("path").mapInPandas(parse, CHUNK_SCHEMA)
+    files = list_files(spark, path).select("path", "length")
+    parsed = framing.read_objects(files.where("length > 0"), _safe_rows, _NAMES, SERIES_SCHEMA, limit, split_bytes)
+    chunks = framing.within_first_problem(stored(parsed, "chunks"))
+    empty = files.select(F.col("path").alias("source_file")).join(chunks, "source_file", "left_anti").select(
+        "source_file", F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("chunk_no"), F.lit(EMPTY_RESPONSE).alias("code"))
+    return chunks.unionByName(empty, allowMissingColumns=True)
 
 
 def reconcile_statements(chunks: DataFrame, statement_count: int) -> DataFrame:
@@ -204,6 +154,16 @@ def reconcile_statements(chunks: DataFrame, statement_count: int) -> DataFrame:
     )
 
 
+def _running(sizes: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows of `group` in chunks before this one: sums inside a range of the file, and over whole ranges."""
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.groupBy(*group, "part").agg(F.sum("_n").alias("_sum")).select(
+        *group, "part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*group, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(bases, [*group, "part"]).withColumn(
+        name, F.col("_base") + F.col("_before")).drop("_base", "_before")
+
+
 def result_rows(chunks: DataFrame, time_column: str = "time", schema: DataFrame | None = None) -> DataFrame:
     """Flat rows: source_file, statement_id, series_id, row_index, arrival, measurement, tags,
     columns, cells ARRAY<scalar>, code.
@@ -215,16 +175,11 @@ def result_rows(chunks: DataFrame, time_column: str = "time", schema: DataFrame
         "series_id", identity.series_id(F.col("statement_id"), F.col("name"), F.col("tags"))
     ).withColumn("_n", F.size("cells"))
     order = ["chunk_no", "series_no"]
-    sizes = blocks.select("source_file", "series_id", *order, "_n", F.sha2(F.to_json("columns"), 256).alias("_cols"))
-    upto = Window.unboundedPreceding
-    in_file = Window.partitionBy("source_file").orderBy(*order).rowsBetween(upto, -1)
-    in_series = Window.partitionBy("source_file", "series_id").orderBy(*order)
-    sizes = sizes.select(
-        "source_file", *order,
-        F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_arrival"),
-        F.coalesce(F.sum("_n").over(in_series.rowsBetween(upto, -1)), F.lit(0)).alias("_index"),
-        (F.first("_cols").over(in_series.rowsBetween(upto, 0)) != F.col("_cols")).alias("_changed"),
-    )
+    sizes = blocks.select("source_file", "part", "series_id", *order, "_n", F.sha2(F.to_json("columns"), 256).alias("_cols"))
+    columns = sizes.groupBy("source_file", "series_id").agg(F.min_by("_cols", F.struct(*order)).alias("_first"))
+    sizes = _running(sizes, ["source_file"], order, "_arrival").join(columns, ["source_file", "series_id"])
+    sizes = _running(sizes, ["source_file", "series_id"], order, "_index").select(
+        "source_file", *order, "_arrival", "_index", (F.col("_first") != F.col("_cols")).alias("_changed"))
     blocks = blocks.join(sizes, ["source_file", *order])
     if schema is not None:
         kinds = schema.groupBy(F.col("measurement").alias("_m")).agg(
@@ -327,15 +282,21 @@ def schema_from_rows(rows: DataFrame) -> DataFrame:
 
 def read_query_responses(
     spark: SparkSession, path, statement_count: int = 1, time_column: str = "time",
-    schema: DataFrame | None = None, limit: int = MAX_CHUNK_BYTES,
+    schema: DataFrame | None = None, limit: int = MAX_CHUNK_BYTES, split_bytes: int = framing.SPLIT_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, verdicts). Rows of files with a bad verdict are for inspection only: one bad row or number fails its file."""
-    chunks = read_chunks(spark, path, limit)
+    chunks = read_chunks(spark, path, limit, split_bytes)
     rows = result_rows(chunks, time_column, schema)
     bad = rows.where(F.col("code").isNotNull()).groupBy("source_file").agg(F.min("code").alias("_row_code"))
     verdicts = reconcile_statements(chunks, statement_count).join(bad, "source_file", "left")
     return rows, verdicts.withColumn("code", F.coalesce("code", "_row_code")).drop("_row_code")
 
 
-def read_schema_responses(spark: SparkSession, path) -> DataFrame:
-    return schema_from_rows(result_rows(read_chunks(spark, path)))
+def read_schema_responses(spark: SparkSession, path, statement_count: int | None = None, **how) -> DataFrame:
+    """Schema rows of tag-key and field-key answers; with `statement_count`, what a failed or unfinished answer says is drift."""
+    if statement_count is None:
+        return schema_from_rows(result_rows(read_chunks(spark, path, **how)))
+    rows, verdicts = read_query_responses(spark, path, statement_count, **how)
+    judged = verdicts.select("source_file", F.col("code").alias("_answer"))
+    rows = rows.join(judged, "source_file", "left")
+    return schema_from_rows(rows.withColumn("code", F.coalesce("code", "_answer")).drop("_answer"))
