@@ -165,6 +165,7 @@ def test_phrases_equal_plain_python(spark, how):
 
 def test_only_the_first_phrases_and_none(spark, monkeypatch):
     monkeypatch.setattr(phrases, "BUFFER", 64)
+    monkeypatch.setattr(phrases, "TEXT_BUFFER", 64)
     table = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(TEXTS)], "doc_id long, text string, lang string")
     assert sorted(tuple(r)[:8] for r in phrases.collocations(table, at_least=7, longest=3, top=4).collect()) == plain_phrases(TEXTS, 7, 3, 4)
     assert phrases.collocations(table.limit(0)).collect() == [] and phrases.collocations(table, at_least=10**6).collect() == []

@@ -31,8 +31,9 @@ from tidepoint.llm.catalog import query
 from tidepoint.llm.common import stored, table
 from tidepoint.llm.words import LOWER_KEYS, STEP, mix, words_of
 
-BLOCK_BYTES = 1 << 20
-BUFFER = 1 << 21  # fingerprints a task holds before it merges them
+BLOCK_BYTES = 1 << 19
+BUFFER = 1 << 20  # fingerprints a task holds before it merges them
+TEXT_BUFFER = 1 << 19  # texts
 MOST_BITS = 1 << 28  # the largest filter: 32 MB for each pass
 BITS_EACH = 12
 PROBES = 3
@@ -163,16 +164,17 @@ def _emit(groups: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _merging(parts: Iterator[pa.Table], merge: Callable[[pa.Table], pa.Table], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Tables merged whenever BUFFER rows are held; what does not shrink to half of that leaves the task."""
+def _merging(parts: Iterator[pa.Table], merge: Callable[[pa.Table], pa.Table], names: list[str], most: int) -> Iterator[pa.RecordBatch]:
+    """Tables merged whenever `most` rows are held; what does not shrink to half of that leaves the task."""
     held, rows = [], 0
     for part in parts:
         held.append(part)
         rows += len(part)
-        if rows >= BUFFER:
+        if rows >= most:
             held = [merge(pa.concat_tables(held))]
             rows = len(held[0])
-            if rows >= BUFFER // 2:
+            pa.default_memory_pool().release_unused()
+            if rows >= most // 2:
                 yield from _emit(held[0], names)
                 held, rows = [], 0
     if rows:
@@ -191,14 +193,17 @@ def count_words(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """lang, phrase, f of every single word."""
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for batch in batches:
-            langs = batch["lang"].cast(pa.large_string())
+            langs = batch["lang"].cast(pa.large_string()).dictionary_encode()
             for block in blocks(batch["text"], 0, block_bytes):
-                n = pa.array(np.ones(len(block.rows), np.int64))
-                yield merge(pa.table({"lang": langs.take(pa.array(block.rows)), "phrase": block.text(), "f": n}))
+                words = block.text().dictionary_encode()
+                lang = langs.indices.to_numpy()[block.rows].astype(np.int64)
+                key, f = np.unique(words.indices.to_numpy() * np.int64(len(langs.dictionary)) + lang, return_counts=True)
+                word, lang = np.divmod(key, max(len(langs.dictionary), 1))
+                yield pa.table({"lang": langs.dictionary.take(pa.array(lang)), "phrase": words.dictionary.take(pa.array(word)), "f": f})
 
     merge = _sum_by(["lang", "phrase"])
     counted = docs.select("lang", "text").mapInArrow(
-        lambda batches: _merging(parts(batches), merge, ["lang", "phrase", "f"]), "lang string, phrase string, f long")
+        lambda batches: _merging(parts(batches), merge, ["lang", "phrase", "f"], TEXT_BUFFER), "lang string, phrase string, f long")
     return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
@@ -246,7 +251,7 @@ def frequent_fingerprints(docs: DataFrame, sizes: range, unit: int, known: Filte
         heads = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
         return pa.table({"fp": fp[heads], "f": np.add.reduceat(f[order], heads)})
 
-    counted = docs.select("seed", "text").mapInArrow(lambda batches: _merging(parts(batches), merge, ["fp", "f"]), "fp long, f long")
+    counted = docs.select("seed", "text").mapInArrow(lambda batches: _merging(parts(batches), merge, ["fp", "f"], BUFFER), "fp long, f long")
     return counted.groupBy("fp").agg(F.sum("f").alias("f")).where(F.col("f") >= at_least).select("fp")
 
 
@@ -254,19 +259,26 @@ def materialised(docs: DataFrame, sizes: range, known: Filter, at_least: int, bi
     """lang, phrase, f, example of the frequent phrases, counted by their text; example is the smallest id of a document with it."""
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for batch in batches:
-            langs, seeds = batch["lang"].cast(pa.large_string()), batch["seed"].to_numpy().view(np.uint64)
+            langs, seeds = batch["lang"].cast(pa.large_string()).dictionary_encode(), batch["seed"].to_numpy().view(np.uint64)
             for block in blocks(batch["text"], sizes[-1] - 1, block_bytes):
                 words, found = block.text(), []
+                codes = words.dictionary_encode().indices.to_numpy().astype(np.int64)
                 for n, at, _ in _hits(block, seeds, sizes, None, known, bits):
-                    text = pc.binary_join_element_wise(*(words.take(pa.array(at + k)) for k in range(n)), pa.scalar(" ", pa.large_string()))
-                    rows = pa.array(block.rows[at])
-                    found.append(pa.table({"lang": langs.take(rows), "phrase": text, "f": np.ones(len(at), np.int64), "example": batch["id"].take(rows)}))
-                yield merge(pa.concat_tables(found))
+                    key = lang = langs.indices.to_numpy()[block.rows[at]]
+                    for k in range(n):  # the words themselves tell phrases apart, not their hashes
+                        _, key = np.unique(key, return_inverse=True)
+                        key = key * np.int64(len(codes)) + codes[at + k]
+                    _, first, key, f = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                    least = pa.table({"key": key, "example": batch["id"].take(pa.array(block.rows[at]))}).group_by("key").aggregate(
+                        [("example", "min")]).sort_by("key")["example_min"]
+                    text = pc.binary_join_element_wise(*(words.take(pa.array(at[first] + k)) for k in range(n)), pa.scalar(" ", pa.large_string()))
+                    found.append(pa.table({"lang": langs.dictionary.take(pa.array(lang[first])), "phrase": text, "f": f, "example": least}))
+                yield pa.concat_tables(found)
 
     merge = _sum_by(["lang", "phrase"], ("example", "min"))
     kind = docs.schema["id"].dataType.simpleString()
     counted = docs.select("id", "lang", "seed", "text").mapInArrow(
-        lambda batches: _merging(parts(batches), merge, ["lang", "phrase", "f", "example"]), f"lang string, phrase string, f long, example {kind}")
+        lambda batches: _merging(parts(batches), merge, ["lang", "phrase", "f", "example"], TEXT_BUFFER), f"lang string, phrase string, f long, example {kind}")
     return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.min("example").alias("example")).where(F.col("f") >= at_least)
 
 
