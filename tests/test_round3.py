@@ -100,3 +100,52 @@ def test_unfinished_schema_answers_are_drift(spark, tmp_path):
     got = {r["measurement"]: r["code"] for r in responses.read_schema_responses(spark, str(tmp_path), 1).collect()}
     assert got == {"a": None, "b": "SCHEMA_DRIFT"}
     assert responses.read_schema_responses(spark, str(tmp_path)).where(F.col("code").isNotNull()).count() == 0
+
+
+ONE = dict(timestamp_column="time", static_measurement="m", field_columns={"value": ("value", "string")})
+
+
+def read_csv(spark, path, split, limit):
+    from tidepoint.sources import mapped_csv
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        good, bad = mapped_csv.read_mapped_csv(spark, str(path), mapped_csv.CsvMapping(**ONE), limit=limit)
+        return ({(r["time_ns"], r["fields"]["value"]["string_value"]) for r in good.collect()},
+                {(r["source_file"].rsplit("/", 1)[1], r["line_no"], r["size"], r["code"]) for r in bad.collect()})
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("split", [100, 10_000_000])
+@pytest.mark.parametrize("few", [True, False])
+def test_records_beyond_the_limit_are_named_and_never_gathered(spark, tmp_path, monkeypatch, split, few):
+    from tidepoint.sources import mapped_csv
+
+    monkeypatch.setattr(mapped_csv, "BROADCAST_ROWS", 200_000 if few else 0)
+    rows = "".join(f"{i},v{i}\n" for i in range(1, 40))
+    (tmp_path / "stray.csv").write_text("time,value\n" + rows + '77,"oops\n' + rows)
+    (tmp_path / "row.csv").write_text("time,value\n1," + "x" * 64 + "\n41,y\n")
+    (tmp_path / "quoted.csv").write_text('time,value\r\n1,"' + "x\r\n" * 40 + '"\r\n42,"a,b"\r\n')
+    (tmp_path / "fits.csv").write_text('time,value\n43,"' + "z" * 40 + '"\n')
+    good, bad = read_csv(spark, tmp_path, split, 64)
+    assert good == {(i, f"v{i}") for i in range(1, 40)} | {(41, "y"), (42, "a,b"), (43, "z" * 40)}
+    assert bad == {("stray.csv", 41, len('77,"oops\n' + rows), "POINT_TOO_LARGE"), ("row.csv", 2, 67, "POINT_TOO_LARGE"),
+                   ("quoted.csv", 2, 126, "POINT_TOO_LARGE")}
+
+
+def test_a_header_beyond_the_limit(spark, tmp_path):
+    from tidepoint.model import RejectedInput
+
+    (tmp_path / "a.csv").write_text("h" * 65 + ",value\n1,text\n")
+    with pytest.raises(RejectedInput, match="POINT_TOO_LARGE"):
+        read_csv(spark, tmp_path, 1000, 64)
+
+
+def test_files_without_odd_quotes_meet_no_python(spark, tmp_path):
+    from tidepoint.sources import mapped_csv
+
+    (tmp_path / "a.csv").write_text('time,value\n1,"a,b"\n2,c\n')
+    good, _ = mapped_csv.read_mapped_csv(spark, str(tmp_path), mapped_csv.CsvMapping(**ONE))
+    shown = good._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in shown and "Exchange hash" not in shown and good.count() == 2

@@ -151,12 +151,16 @@ def split_rejects(parsed: DataFrame, scan: DataFrame, fail_on_reject: bool = Fal
         "source_file", "line_no", "raw", "code"
     )
     if fail_on_reject:
-        first = rejects.orderBy("source_file", "line_no").limit(1).collect()
-        if first:
-            raise RejectedInput(first[0]["code"], f"{first[0]['source_file']}:{first[0]['line_no']}")
+        fail_on_first(rejects)
     return good, rejects
 
 
+def fail_on_first(rejects: DataFrame) -> None:
+    first = rejects.orderBy("source_file", "line_no").limit(1).collect()
+    if first:
+        raise RejectedInput(first[0]["code"], f"{first[0]['source_file']}:{first[0]['line_no']}")
+
+
 def read_line_protocol(
     spark: SparkSession, path, fail_on_reject: bool = False
 ) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepoint.functions import numbers, points, text
-from tidepoint.functions.joins import bounded_broadcast
+from tidepoint.functions.joins import BROADCAST_ROWS, bounded_broadcast
+from tidepoint.functions.work import stored
 from tidepoint.model import (
     CSV_MAPPING_INVALID,
     EMPTY,
@@ -20,7 +21,7 @@ from tidepoint.model import (
     TIMESTAMP_REQUIRED,
 )
 from tidepoint.sources import lines
-from tidepoint.sources.line_protocol import split_rejects
+from tidepoint.sources.line_protocol import fail_on_first
 
 # Spellings of a boolean cell.
 TRUE_WORDS = ("1", "t", "T", "TRUE", "true", "True")
@@ -145,87 +146,124 @@ def split_fields(record: Column) -> Column:
     return F.when(record.rlike(RECORD), plain)
 
 
-def _with_quotes_before(raw: DataFrame) -> DataFrame:
-    """Lines with _toggles: how many lines of the file before it hold an odd number of quotes.
+def read_raw_lines(spark: SparkSession, path) -> DataFrame:
+    """PLACE, raw (without a trailing CR) and size (bytes with the line break) of every line."""
+    value = F.col("value")
+    return lines.placed(spark.read.option("lineSep", "\n").text(path), lines.strip_cr(value).alias("raw"), (F.octet_length(value) + 1).cast("long").alias("size"))
 
-    Counted per split in a narrow scan, then along each split in scan order; no line is shuffled.
+
+def _with_quotes_before(raw: DataFrame) -> tuple[DataFrame, bool]:
+    """(lines with _toggles: how many lines of the file before it hold an odd number of quotes; whether any line does).
+
+    A narrow scan counts them per split. Where no split has one, that is all. Otherwise the lines of splits that have none get the
+    count in front of their split, and only the others are counted along the split, in scan order. No line is shuffled
+    unless the splits with open quotes are too many to broadcast.
     """
     odd = (F.length("raw") - F.length(F.replace("raw", F.lit('"'), F.lit("")))) % 2 == 1
     marked = raw.withColumn("_odd", odd)
     before = Window.partitionBy("source_file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = marked.groupBy("source_file", "split_start").agg(F.count_if("_odd").alias("_n")).select(
-        "source_file", "split_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_toggles"))
-    # Only splits behind a quote that is still open, or behind any at all, need a place in the count.
-    splits = splits.where("_toggles > 0")
-    joined = marked.join(bounded_broadcast(splits), ["source_file", "split_start"], "left").withColumn(
-        "_toggles", F.coalesce("_toggles", F.lit(0).cast("bigint")))
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        place, seen = None, 0
-        for batch in batches:
-            names = batch.schema.names
-            odds = batch.column(names.index("_odd")).to_numpy(zero_copy_only=False).astype(np.int64)
-            files, starts = (batch.column(names.index(c)) for c in ("source_file", "split_start"))
-            base = batch.column(names.index("_toggles")).to_numpy()
-            inner = np.cumsum(odds) - odds
-            new = np.ones(len(odds), bool)
-            new[1:] = np.diff(starts.to_numpy()) != 0
-            codes = files.dictionary_encode().indices.to_numpy()
-            new[1:] |= np.diff(codes) != 0
-            if len(odds):
-                new[0] = (files[0].as_py(), starts[0].as_py()) != place
-                at = np.maximum.accumulate(np.where(new, np.arange(len(odds)), -1))
-                inner = np.where(at >= 0, inner - inner[np.maximum(at, 0)], inner + seen)
-                place = (files[-1].as_py(), starts[-1].as_py())
-                seen = int(inner[-1] + odds[-1])
-            yield batch.set_column(names.index("_toggles"), "_toggles", pa.array(base + inner, pa.int64()))
-
-    return joined.mapInArrow(run, joined.schema)
-
-
-def read_records(raw: DataFrame) -> DataFrame:
-    """PLACE (of the first line) and `raw` of every CSV record; blank lines give none.
-
-    A record ends at the first line break outside quotes. Lines that are whole records, as a rule
-    all, pass as they are; parts of longer ones meet by file and running number.
+    splits = marked.groupBy("source_file", "split_start").agg(F.count_if("_odd").alias("_within")).select(
+        "source_file", "split_start", "_within", F.coalesce(F.sum("_within").over(before), F.lit(0)).alias("_toggles"))
+    splits = stored(splits.where("_toggles > 0 or _within > 0"), "quotes")
+    found = splits.count()
+    if not found:
+        return marked.withColumn("_toggles", F.lit(0).cast("long")), False
+    keys = ["source_file", "split_start"]
+    few = found <= BROADCAST_ROWS
+    joined = marked.join(F.broadcast(splits) if few else splits, keys, "left")
+    zero = F.lit(0).cast("long")
+    calm = joined.where(F.coalesce("_within", zero) == 0).withColumn("_toggles", F.coalesce("_toggles", zero)).drop("_within")
+    busy = joined.where("_within > 0").drop("_within")
+    if not few:  # a join that shuffles loses the order of the scan
+        busy = busy.repartition(*keys).sortWithinPartitions(*keys, "row_id")
+    return calm.unionByName(busy.mapInArrow(_count_along, busy.schema)), True
+
+
+def _count_along(batches):
+    """Adds to _toggles the odd lines before each line in its split; rows come in the order of (file, split, row)."""
+    import numpy as np
+    import pyarrow as pa
+
+    place, seen = None, 0
+    for batch in batches:
+        names = batch.schema.names
+        odds = batch.column(names.index("_odd")).to_numpy(zero_copy_only=False).astype(np.int64)
+        files, starts = (batch.column(names.index(c)) for c in ("source_file", "split_start"))
+        base = batch.column(names.index("_toggles")).to_numpy()
+        inner = np.cumsum(odds) - odds
+        new = np.ones(len(odds), bool)
+        new[1:] = np.diff(starts.to_numpy()) != 0
+        codes = files.dictionary_encode().indices.to_numpy()
+        new[1:] |= np.diff(codes) != 0
+        if len(odds):
+            new[0] = (files[0].as_py(), starts[0].as_py()) != place
+            at = np.maximum.accumulate(np.where(new, np.arange(len(odds)), -1))
+            inner = np.where(at >= 0, inner - inner[np.maximum(at, 0)], inner + seen)
+            place = (files[-1].as_py(), starts[-1].as_py())
+            seen = int(inner[-1] + odds[-1])
+        yield batch.set_column(names.index("_toggles"), "_toggles", pa.array(base + inner, pa.int64()))
+
+
+def read_records(raw: DataFrame, limit: int = MAX_CSV_RECORD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(PLACE of the first line, `raw` and `size` of every CSV record within `limit` bytes; PLACE and `size` of every larger one).
+
+    A record ends at the first line break outside quotes; blank lines give none. Lines that are whole records, as a rule all, pass as
+    they are. The sizes of longer ones are summed first, merging in the tasks, so the lines of a record beyond the limit (the rest of a
+    file behind a stray quote, say) never meet; parts of the others meet by file and running number.
     """
-    lines_ = _with_quotes_before(raw)
+    lines_, quoted = _with_quotes_before(raw)
     inside = (F.col("_toggles") % 2 == 1) | F.col("_odd")
-    whole = lines_.where(~inside & (F.col("raw") != "")).select(*lines.PLACE, "raw")
-    part = F.struct("split_start", "row_id", "raw")
-    longer = lines_.where(inside).groupBy("source_file", F.floor(F.col("_toggles") / 2).alias("_record")).agg(
-        F.array_sort(F.collect_list(part)).alias("_parts")
+    whole = lines_.where(~inside & (F.col("raw") != "")).select(*lines.PLACE, "raw", "size")
+    records, large = whole.where(F.col("size") <= limit), whole.where(F.col("size") > limit).drop("raw")
+    if not quoted:
+        return records, large
+    part = lines_.where(inside).withColumn("_record", F.floor(F.col("_toggles") / 2))
+    key = ["source_file", "_record"]
+    start = F.struct("split_start", "row_id")
+    totals = part.groupBy(*key).agg(F.sum("size").alias("size"), F.min(start).alias("_start"))
+    over = stored(totals.where(F.col("size") > limit), "large-records")
+    found = over.count()
+    if 0 < found <= BROADCAST_ROWS:
+        part = part.join(F.broadcast(over.select(*key)), key, "left_anti")
+    elif found:  # blocks of lines keep the lines of one large record apart
+        block = [*key, "split_start", "_block"]
+        part = part.withColumn("_block", F.shiftright("row_id", 14))
+        part = part.join(part.select(*block).distinct().join(over.select(*key), key), block, "left_anti").drop("_block")
+    longer = part.groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("split_start", "row_id", "raw"))).alias("_parts"), F.sum("size").alias("size")
     ).select(
         "source_file", F.col("_parts")[0]["split_start"].alias("split_start"), F.col("_parts")[0]["row_id"].alias("row_id"),
-        F.array_join(F.transform("_parts", lambda x: x["raw"]), "\n").alias("raw"),
+        F.array_join(F.transform("_parts", lambda x: x["raw"]), "\n").alias("raw"), "size",
     )
-    return whole.unionByName(longer)
+    over = over.select("source_file", F.col("_start.split_start").alias("split_start"), F.col("_start.row_id").alias("row_id"), "size")
+    return records.unionByName(longer), large.unionByName(over)
 
 
 def read_mapped_csv(
-    spark: SparkSession, path, mapping: CsvMapping, fail_on_reject: bool = False
+    spark: SparkSession, path, mapping: CsvMapping, fail_on_reject: bool = False, limit: int = MAX_CSV_RECORD_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """(points, rejects) of CSV files, each with its own header, whose columns may come in any order.
 
     Large files are split among tasks, with line breaks inside quotes or without. Quotes are read
     strictly: a record with a bare or stray quote is rejected, whole. `line_no` of a reject is the
-    line its record begins on.
+    line its record begins on, `size` its bytes; of a record beyond `limit` bytes that is all there is.
     """
-    raw = lines.read_lines(spark, path)
-    records = read_records(raw)
-    heads = records.where("split_start = 0").groupBy("source_file").agg(
-        F.min_by(F.struct("row_id", "raw"), F.col("row_id")).alias("_head"))
-    heads = heads.select("source_file", F.col("_head.row_id").alias("_head_row"), split_fields(F.col("_head.raw")).alias("_header"))
+    raw = read_raw_lines(spark, path)
+    records, large = read_records(raw, limit)
+    first = records.where("split_start = 0").unionByName(large.where("split_start = 0"), allowMissingColumns=True)
+    heads = first.groupBy("source_file").agg(F.min_by(F.struct("row_id", "raw"), F.col("row_id")).alias("_head"))
+    heads = stored(heads.select(
+        "source_file", F.col("_head.row_id").alias("_head_row"), split_fields(F.col("_head.raw")).alias("_header"),
+        F.col("_head.raw").isNull().alias("_large")), "headers")
     found = False
-    for row in heads.select("_header").distinct().toLocalIterator():
+    for row in heads.select("_header", "_large").distinct().toLocalIterator():
+        if row["_large"]:
+            raise RejectedInput(POINT_TOO_LARGE, "header")
         check_csv_mapping(list(row["_header"] or []), mapping)
         found = True
     if not found:
         raise RejectedInput(EMPTY)
-    rows = records.join(bounded_broadcast(heads), "source_file").where(
+    rows = records.join(bounded_broadcast(heads.drop("_large")), "source_file").where(
         (F.col("split_start") > 0) | (F.col("row_id") > F.col("_head_row")))
     rows = points.evaluate_once(rows.withColumn("_cells", split_fields(F.col("raw"))))
     fits = F.size("_cells") == F.size("_header")
@@ -234,12 +272,18 @@ def read_mapped_csv(
     # Positional names, so that a header name can never clash with ours.
     slots = {f"_c{i}": F.try_element_at("_cells", F.array_position("_header", F.lit(n)).cast("int")) for i, n in enumerate(names)}
     rows = points.evaluate_once(rows.select(
-        *[F.col(c).alias(f"_{c}") for c in (*lines.PLACE, "raw")],
+        *[F.col(c).alias(f"_{c}") for c in (*lines.PLACE, "raw", "size")],
         F.when(F.coalesce(fits, F.lit(False)), F.lit(None)).otherwise(F.col("raw")).alias("__corrupt"),
         *[F.when(fits, c).alias(s) for s, c in slots.items()],
     ))
-    place = [f"_{c}" for c in (*lines.PLACE, "raw")]
+    place = [f"_{c}" for c in (*lines.PLACE, "raw", "size")]
     named = rows.select(*place, F.col("__corrupt").alias("_corrupt"), *[F.col(s).alias(n) for s, n in zip(slots, names)])
     parsed = points_from_csv(named, mapping, keep=place)
-    parsed = parsed.withColumnsRenamed({f"_{c}": c for c in (*lines.PLACE, "raw")})
-    return split_rejects(parsed, raw, fail_on_reject)
+    parsed = parsed.withColumnsRenamed({f"_{c}": c for c in (*lines.PLACE, "raw", "size")})
+    good = parsed.where(F.col("code").isNull()).drop("code", "raw", "size")
+    bad = parsed.where(F.col("code").isNotNull()).select(*lines.PLACE, "raw", "size", "code").unionByName(
+        large.withColumn("code", F.lit(POINT_TOO_LARGE)), allowMissingColumns=True)
+    rejects = lines.with_line_numbers(bad, raw).select("source_file", "line_no", "raw", "size", "code")
+    if fail_on_reject:
+        fail_on_first(rejects)
+    return good, rejects
