@@ -7,7 +7,7 @@ from tidepoint import catalog
 SF = "/root/testdata/sf0.001"
 # Queries that run jobs while they are built have their own tests.
 PLANNED = [
-    "time_range", "group_by_time", "fill_null", "slimit", "limit_offset", "validate_points", "assign_slices", "page_series", "project_chart",
+    "time_range", "group_by_time", "fill_null", "slimit", "limit_offset", "validate_points", "assign_slices", "project_chart",
     "verify_event_sequence", "latest_snapshot", "apply_settlements", "resolve_incidents", "recover_imports", "admit_once", "plan_restart",
 ]
 

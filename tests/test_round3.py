@@ -149,3 +149,50 @@ def test_files_without_odd_quotes_meet_no_python(spark, tmp_path):
     good, _ = mapped_csv.read_mapped_csv(spark, str(tmp_path), mapped_csv.CsvMapping(**ONE))
     shown = good._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in shown and "Exchange hash" not in shown and good.count() == 2
+
+
+def result_of(spark, rows):
+    from tidepoint.operators import result_store
+
+    df = spark.createDataFrame(rows, "statement_id int, series_id string, t long, v string")
+    return result_store.store_result(df, ["t"])
+
+
+def test_pages_read_only_where_their_rows_stand(spark):
+    rows = [(0, "hot", i, f"v{i}") for i in range(5000)] + [(1, "hot", i, "other") for i in range(7)] + [(0, "cold", 5, "c"), (0, None, 1, "null")]
+    store = result_of(spark, rows[::-1])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    page = store.page(0, "hot", 1990, 1200)
+    assert [(r["row_index"], r["v"]) for r in page.collect()] == [(i, f"v{i}") for i in range(1990, 3190)]
+    shown = store.page(0, "hot", 1990, 1200)._jdf.queryExecution().executedPlan().toString()
+    pushed = shown[shown.index("PushedFilters"):].split("\n")[0]
+    assert "EqualTo(series_id,hot)" in pushed and "GreaterThanOrEqual(place," in pushed and "LessThanOrEqual(place," in pushed
+    assert shown.count("FileScan") == 1 and "Join" not in shown
+    assert [r["row_index"] for r in store.page(0, "hot", 4998, 5).collect()] == [4998, 4999] and store.page(0, "hot", 5000).collect() == []
+    picked = store.pick(0, "hot", [4999, 3, 0])
+    assert sorted((r["row_index"], r["v"]) for r in picked.collect()) == [(0, "v0"), (3, "v3"), (4999, "v4999")]
+    shown = store.pick(0, "hot", [4999, 3, 0])._jdf.queryExecution().executedPlan().toString()
+    assert "In(place" in shown and shown.count("FileScan") == 1
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    for bad in ([1, 1], [5000], [], [-1]):
+        with pytest.raises(Exception, match="INVALID_SELECTION"):
+            store.pick(0, "hot", bad)
+    for call in (lambda: store.page(0, "hot", 0, 5001), lambda: store.page(0, "none"), lambda: store.page(0, "cold", 2)):
+        with pytest.raises(Exception, match="INVALID_PAGE_SIZE|RESULT_SERIES_NOT_FOUND"):
+            call()
+    assert {(r["statement_id"], r["series_id"]): r["row_count"] for r in store.summary().collect()} == {
+        (0, "hot"): 5000, (1, "hot"): 7, (0, "cold"): 1, (0, None): 1}
+    assert store.numbered().where("series_id is null").collect()[0]["row_index"] == 0
+
+
+def test_one_moment_of_one_series_spreads_over_all_tasks(spark):
+    from tidepoint.operators import results
+
+    same = spark.range(4000).select(F.lit("s").alias("k"), F.lit(7).alias("t"), "id")
+    rows, ranges = results.laid_out(same, ["k"], ["t"])
+    sizes = [r["n"] for r in ranges.collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000 and sum(sizes) == 4000
+    got = sorted(r["row_index"] for r in results.number_rows(same, ["k"], ["t"]).collect())
+    assert got == list(range(4000))
+    none = results.number_rows(same.limit(0), ["k"], ["t"])
+    assert none.collect() == [] and none.columns == ["k", "t", "id", "row_index"]

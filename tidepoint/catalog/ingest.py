@@ -176,9 +176,7 @@ MAX_POINTS, MAX_BYTES = 100, 6000
 def _indexed_lines(spark, sf):
     p = event_points(spark, sf).withColumn("fragment", F.col("series_key"))
     return results.number_rows(
-        p.select("fragment", "time_ns", "canonical_lp"), ["fragment"], ["time_ns", "canonical_lp"],
-        aggregate.bucket_ns(DAY), "line_index",
-    )
+        p.select("fragment", "time_ns", "canonical_lp"), ["fragment"], ["time_ns", "canonical_lp"], "line_index")
 
 
 BATCHES = f"""
@@ -330,7 +328,7 @@ def query_responses(spark, sf):
     ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
     row = F.concat(F.lit("["), ns, F.lit(","), F.col("event_id"), F.lit(","), F.col("value").cast("string"), F.lit('e0,"'), F.col("event_type"), F.lit('"]'))
     keyed = e.select(F.col("user_id").alias("host"), ns.alias("t"), "event_id", row.alias("r"))
-    numbered = results.number_rows(keyed, ["host"], ["t", "event_id"], aggregate.bucket_ns(DAY, "t"))
+    numbered = results.number_rows(keyed, ["host"], ["t", "event_id"])
     # A chunk holds at most 50 rows of one series.
     chunked = numbered.withColumn("chunk", F.floor(F.col("row_index") / 50)).groupBy("host", "chunk").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "r"))), lambda x: x["r"]), ",").alias("rows")

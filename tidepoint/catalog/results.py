@@ -20,8 +20,12 @@ NUMBERED = (
 )
 
 
+def event_result(spark, sf):
+    return results.store_tabulated(events(spark, sf), "events", EVENTS.tags, EVENTS.fields, ties=["value", "user_id"])
+
+
 def event_rows(spark, sf):
-    return results.tabulate(events(spark, sf), "events", EVENTS.tags, EVENTS.fields, ties=["value", "user_id"])
+    return event_result(spark, sf).numbered()
 
 
 def _flat(rows):
@@ -43,14 +47,13 @@ def tabulate(spark, sf):
 @query("page_series", f"SELECT {FLAT} FROM {NUMBERED} WHERE event_type = 'view' AND row_index >= 120 AND row_index < 620")
 def page_series(spark, sf):
     wanted = identity.series_id_of(0, "events", {"event_type": "view"})
-    return _flat(results.page_series(event_rows(spark, sf), 0, wanted, 120, 500))
+    return _flat(event_result(spark, sf).page(0, wanted, 120, 500))
 
 
 @query("select_rows", f"SELECT {FLAT} FROM {NUMBERED} WHERE event_type = 'view' AND row_index IN (0, 3, 17, 99)")
 def select_rows(spark, sf):
     wanted = identity.series_id_of(0, "events", {"event_type": "view"})
-    rows = event_rows(spark, sf).where(F.col("series_id") == wanted)
-    return _flat(select.select_rows(rows, [17, 3, 0, 99]))
+    return _flat(event_result(spark, sf).pick(0, wanted, [17, 3, 0, 99]))
 
 
 @query(

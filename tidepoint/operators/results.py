@@ -6,30 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepoint.functions import points
+from tidepoint.operators.result_store import ResultStore, laid_out, store_result, with_numbers
 from tidepoint.model import DEFAULT_PAGE, MAX_PAGE, MAX_RESULT_BYTES, MAX_RESULT_ROWS, RejectedInput
 
 ROW_BLOCK = 65_536
 
 
-def number_rows(
-    df: DataFrame, group: list[str], order: list[str], block: Column, name: str = "row_index"
-) -> DataFrame:
+def number_rows(df: DataFrame, group: list[str], order: list[str], name: str = "row_index") -> DataFrame:
     """Dense 0-based position of each row inside its group, in the given order.
 
-    `block` cuts a group into consecutive runs of the order (for example one run per
-    hour of time). Rows are sorted only inside a run; runs are placed by a prefix sum over
-    their counts. A group of any size therefore spreads over as many tasks as it has runs.
+    One range sort over group, order and a row salt, written once; positions come from the partitions' counts.
     """
-    staged = df.withColumn("_block", block)
-    keys = [*group, "_block"]
-    counts = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    ranked = staged.withColumn("_pos", F.row_number().over(inside) - 1)
-    return ranked.join(bases, keys).withColumn(
-        name, (F.col("_base") + F.col("_pos")).cast("bigint")
-    ).drop("_block", "_pos", "_base")
+    rows, ranges = laid_out(df, group, order)
+    return with_numbers(rows, ranges, group, name)
 
 
 def page_series(
@@ -120,32 +109,37 @@ def sort_result(rows: DataFrame, column: str, kind: str, descending: bool = Fals
     return rows.orderBy(order, *(ties or []))
 
 
+def store_tabulated(
+    wide: DataFrame, measurement: str, tags: tuple[str, ...], fields: dict[str, str], statement_id: int = 0, ties: list[str] | None = None,
+) -> ResultStore:
+    """A stored result of computed points: one series per tag set, rows in time order.
+
+    The points are stored as they are; cells are made of the rows that are read.
+    """
+    from tidepoint.functions import identity
+    from tidepoint.sources.tables import field_scalar, tag_entries
+
+    def finish(rows: DataFrame) -> DataFrame:
+        cells = F.array(
+            points.scalar("timestamp_ns", F.col("time_ns").cast("string")),
+            *[F.coalesce(field_scalar(n, k), points.null_scalar()) for n, k in fields.items()],
+        )
+        return rows.select(
+            "statement_id", "series_id", "row_index", F.lit(measurement).alias("measurement"), F.map_from_entries(tag_entries(tags)).alias("tags"),
+            F.array(*map(F.lit, ["time", *fields])).alias("columns"), cells.alias("cells"),
+        )
+
+    order = ["time_ns", *(ties or [])]
+    used = dict.fromkeys([*tags, *order, *fields])
+    series = identity.series_id(F.lit(statement_id), F.lit(measurement), F.map_from_entries(tag_entries(tags)))
+    return store_result(wide.select(F.lit(statement_id).alias("statement_id"), series.alias("series_id"), *used), order, finish)
+
+
 def tabulate(
-    wide: DataFrame, measurement: str, tags: tuple[str, ...], fields: dict[str, str],
-    statement_id: int = 0, ties: list[str] | None = None, run: str = "1d",
+    wide: DataFrame, measurement: str, tags: tuple[str, ...], fields: dict[str, str], statement_id: int = 0, ties: list[str] | None = None,
 ) -> DataFrame:
     """Computed points as result rows: one series per tag set, rows in time order.
 
     statement_id, series_id, row_index, measurement, tags, columns, cells.
     """
-    from tidepoint.functions import identity
-    from tidepoint.model import duration_ns
-    from tidepoint.operators.aggregate import bucket_ns
-    from tidepoint.sources.tables import field_scalar, tag_entries
-
-    names = ["time", *fields]
-    cells = F.array(
-        points.scalar("timestamp_ns", F.col("time_ns").cast("string")),
-        *[F.coalesce(field_scalar(n, k), points.null_scalar()) for n, k in fields.items()],
-    )
-    keyed = wide.withColumn("_tags", F.map_from_entries(tag_entries(tags))).withColumn(
-        "series_id", identity.series_id(F.lit(statement_id), F.lit(measurement), F.col("_tags"))
-    )
-    numbered = number_rows(
-        keyed, ["series_id"], ["time_ns", *(ties or [])], bucket_ns(duration_ns(run))
-    )
-    return numbered.select(
-        F.lit(statement_id).alias("statement_id"), "series_id", "row_index",
-        F.lit(measurement).alias("measurement"), F.col("_tags").alias("tags"),
-        F.array(*map(F.lit, names)).alias("columns"), cells.alias("cells"),
-    )
+    return store_tabulated(wide, measurement, tags, fields, statement_id, ties).numbered()

@@ -173,6 +173,7 @@ def read_objects(
     `place` counts the objects that begin in a range. Nothing follows the first problem of a file.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, weight = [], 0
         for batch in batches:
             for r in batch.to_pylist():
                 with open_range(r["source_file"], r["start"]) as stream:
@@ -180,13 +181,19 @@ def read_objects(
                     for place, (text, problem) in enumerate(found):
                         rows = parse(text) if problem is None else [{"code": problem}]
                         head = {"source_file": r["source_file"], "part": r["part"], "place": place, "ends": problem is not None}
-                        yield pa.RecordBatch.from_pylist([{**dict.fromkeys(names), **head, **row} for row in rows], arrow)
+                        held += [{**empty, **head, **row} for row in rows]
+                        weight += len(text or b"")
+                        if weight >= BLOCK:
+                            yield pa.RecordBatch.from_pylist(held, arrow)
+                            held, weight = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     full = f"source_file string, part long, place long, ends boolean, {schema}"
-    arrow = to_arrow_schema(StructType.fromDDL(full))
+    arrow, empty = to_arrow_schema(StructType.fromDDL(full)), dict.fromkeys(names)
     spread = entered(files, split_bytes).repartition("source_file", "part")
     return spread.mapInArrow(run, full)
 
