@@ -277,9 +277,9 @@ def clean(docs: DataFrame) -> DataFrame:
     """`docs` without the removed lines, n_chars brought up to date."""
     gone = similar_lines(docs).where("removed").groupBy(F.col("doc_id").cast("long").alias("_d")).agg(F.collect_set("line_no").alias("_gone"))
     rows = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_d"]), "left")
-    left = F.filter(F.split("text", "\n"), lambda _, i: ~F.coalesce(F.array_contains("_gone", i.cast("long")), F.lit(False)))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    new = {"text": text, "n_chars": F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
+    left = F.filter(F.split("text", "\n"), lambda _, i: ~F.coalesce(F.array_contains(gone["_gone"], i.cast("long")), F.lit(False)))
+    text = F.when(gone["_gone"].isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    new = {"text": text, "n_chars": F.when(gone["_gone"].isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
     return rows.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 

@@ -111,6 +111,9 @@ def solve(sizes: DataFrame, goals: DataFrame, cap: float = CAP, tolerance: float
     return state.select("_s", "multiplier", "_mean")
 
 
+OWN = ("size", "source_size", "target", "copies", "taken")
+
+
 def _take(pool: DataFrame, need: DataFrame) -> DataFrame:
     """Rows of `pool` (_id, _s, size, _key in [0, 1)) to take so that each source's words stay within `need` (_s, _need)."""
     pool = pool.withColumn("_bin", F.floor(F.col("_key") * BINS).cast("int"))
@@ -125,8 +128,11 @@ def _take(pool: DataFrame, need: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, keep: list[str] | None = None, weights=WEIGHTS, cap: int = CAP, rounds: int = 4) -> DataFrame:
-    """The columns `keep` (all) of `docs` (doc_id, text, source and others), with size, source_size, target, copies, taken."""
-    keep = keep or docs.columns
+    """The columns `keep` (all) of `docs` (doc_id, text, source and others), with size, source_size, target, copies, taken.
+
+    Columns of `docs` that bear one of these five names give way to them.
+    """
+    keep = [c for c in keep or docs.columns if c not in OWN]
     # Stored, so that the row numbers stand; all planning is on the narrow part.
     rows = stored(docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), "source", words().alias("size"),

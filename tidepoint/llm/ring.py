@@ -77,7 +77,7 @@ def walk(points: list[tuple[int, int]], counts: list[int], room: list[int]) -> l
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, slack: float = 0.0) -> DataFrame:
-    """`docs` with shard (int) and slot (long, gapless from 0 in each shard)."""
+    """`docs` with shard (int) and slot (long, gapless from 0 in each shard); columns of these names give way to them."""
     points = ring_points(shards, nodes)
     places = [p for p, _ in points]
     columns = docs.columns
@@ -107,7 +107,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, slack: flo
         })
 
     done = placed.withColumn("_place", place("_number"))
-    return done.select(*[F.col("_row")[c].alias(c) for c in columns], "_place.shard", "_place.slot")
+    return done.select(*[F.col("_row")[c].alias(c) for c in columns if c not in ("shard", "slot")], "_place.shard", "_place.slot")
 
 
 def _arcs(placed: DataFrame, places: list[int]) -> DataFrame:
