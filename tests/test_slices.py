@@ -76,3 +76,51 @@ def test_a_skewed_range_gives_bounded_slices(spark):
 def test_bounded_slices_of_no_points(spark):
     plan = slices.plan_bounded_slices(at_times(spark, [1]).limit(0), JOB, 0, 100, 10).collect()
     assert [(r.start_ns, r.end_ns, r.shares) for r in plan] == [(0, 100, 1)]
+
+
+def lines_of(spark, n):
+    from tidepoint.sources.line_protocol import parse_line_protocol
+
+    return parse_line_protocol(spark.createDataFrame([(f"cpu,host={'ab'[i % 2]} n={i}i {i}",) for i in range(n)], "raw string")).drop("code")
+
+
+def test_a_repeated_commit_changes_nothing_and_never_overwrites(spark, tmp_path):
+    from tidepoint.model import RejectedInput
+    from tidepoint.sinks import commit, exports
+
+    root = tmp_path / "pkg"
+    plan = slices.plan_slices(spark, JOB, 0, 100, 20)
+    placed = slices.assign_slices(lines_of(spark, 50), 0, 100, 20)
+    parts = exports.write_canonical_lp(placed, plan, str(root))
+    assert [(r["point_count"], r["valid"]) for r in parts.orderBy("ordinal").collect()] == [(20, True), (20, True), (10, True), (0, True), (0, True)]
+    assert not (root / "_attempts").exists()
+    before = {f.name: f.read_bytes() for f in root.iterdir()}
+    lines = placed.select(F.col("slice_ordinal").alias("ordinal"), F.col("canonical_lp").alias("line"), "series_key", "time_ns")
+    lines = lines.repartition("ordinal").sortWithinPartitions("ordinal", "series_key", "time_ns", "line").select("ordinal", "line")
+    again = commit.write_attempts(lines, str(root / "_attempts"))
+    for _ in range(2):
+        assert {r["state"] for r in commit.commit(plan, again, str(root)).collect()} == {"KEPT"}
+    (root / "data-000001.lp.gz").unlink()  # a run that stopped half way
+    states = {r["ordinal"]: r["state"] for r in commit.commit(plan, again, str(root)).collect()}
+    assert states == {0: "KEPT", 1: "MOVED", 2: "KEPT", 3: "KEPT", 4: "KEPT"}
+    assert before == {f.name: f.read_bytes() for f in root.iterdir() if f.is_file()}
+    (root / "data-000002.lp.gz").write_bytes(b"other")
+    with pytest.raises(RejectedInput, match="ARTIFACT_STATE"):
+        commit.commit(plan, again, str(root))
+
+
+def test_a_skewed_package_has_bounded_files(spark, tmp_path):
+    from tidepoint.operators.schema import infer_schema
+    from tidepoint.plans import exports as packages
+    from tidepoint.sinks import exports
+
+    p = lines_of(spark, 300)
+    plan = slices.plan_bounded_slices(p, JOB, 0, 10**15, 40)
+    parts = exports.write_canonical_lp(slices.assign_bounded_slices(p, plan), plan, str(tmp_path / "pkg"))
+    counts = [r["point_count"] for r in parts.orderBy("ordinal").collect()]
+    assert sum(counts) == 300 and max(counts) <= 40
+    spec = {"database": "d", "retention_policy": "r", "measurement": "cpu", "start_ns": 0, "end_ns": 10**15}
+    digest = slices.plan_digest("d", "r", "cpu", 0, 10**15, ranges=[(r["start_ns"], r["end_ns"]) for r in plan.orderBy("ordinal").collect()])
+    exports.write_manifest(spark, parts, infer_schema(p), spec, digest, str(tmp_path / "pkg" / "manifest.json"))
+    good, bad = packages.read_export_package(spark, str(tmp_path / "pkg"))
+    assert good.count() == 300 and bad.count() == 0

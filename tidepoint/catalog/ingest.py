@@ -240,18 +240,24 @@ def export_plan(spark, sf):
     )
 
 
+SLICE_POINTS, SLICES = 2000, 10_000
+
+
 @query("export_package", f"SELECT {EVENT_LINE} AS canonical_lp FROM {E} WHERE time_ns >= {JAN_1} AND time_ns < {FEB_1}")
 def export_package(spark, sf):
     """Plan, write, verify, list in a manifest, and read the package back."""
     directory = shared_dir(spark, "package")
-    plan = slices.plan_slices(spark, JOB, JAN_1, FEB_1, 4 * DAY)
-    placed = slices.assign_slices(event_points(spark, sf), JAN_1, FEB_1, 4 * DAY)
-    parts = exports.write_canonical_lp(placed, plan, directory)
+    found = event_points(spark, sf)
+    plan = slices.plan_bounded_slices(found, JOB, JAN_1, FEB_1, max(SLICE_POINTS, table(spark, sf, "events").count() // SLICES))
+    parts = exports.write_canonical_lp(slices.assign_bounded_slices(found, plan), plan, directory)
     spec = {"database": "d", "retention_policy": "r", "measurement": "events", "start_ns": JAN_1, "end_ns": FEB_1}
     from tidepoint.operators.schema import infer_schema
 
-    digest = slices.plan_digest("d", "r", "events", JAN_1, FEB_1, 4 * DAY)
-    exports.write_manifest(spark, parts, infer_schema(event_points(spark, sf)), spec, digest, directory + "/manifest.json")
+    ranges = [(r["start_ns"], r["end_ns"]) for r in plan.orderBy("ordinal").collect()]
+    digest = slices.plan_digest("d", "r", "events", JAN_1, FEB_1, ranges=ranges)
+    exports.write_manifest(spark, parts, infer_schema(found), spec, digest, directory + "/manifest.json")
+    if packages.verify_manifest(packages.read_manifest(spark, directory + "/manifest.json"), plan, spec, digest).count():
+        raise ValueError("the manifest differs from the plan")
     good, _ = packages.read_export_package(spark, directory)
     return good.select("canonical_lp")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepoint.functions import points, text
 from tidepoint.model import MAX_RESULT_ROWS, MAX_SLICES, RejectedInput
-from tidepoint.sinks import files
+from tidepoint.sinks import commit, files
 from tidepoint.sources import artifacts
 
 MANIFEST_VERSION = "tidepoint.logical-export.v1"
@@ -22,42 +22,25 @@ WARNING = "A logical export is neither a backup nor a snapshot; it is not consis
 def write_canonical_lp(points_df: DataFrame, slices: DataFrame, directory: str) -> DataFrame:
     """One gzip file data-NNNNNN.lp.gz per slice; returns the fragment table.
 
-    `points_df` carries slice_ordinal (see plans.slices.assign_slices). A file is one gzip
-    member, so a slice is written by one task with an external sort; plans.slices.fit_width
-    picks a slice width that bounds the points of the fullest slice.
+    `points_df` carries slice_ordinal (see plans.slices). A file is one gzip member, so a slice is written by one task with an
+    external sort; plans.slices.plan_bounded_slices bounds the points of the fullest slice. Files get their names in tasks
+    (sinks.commit).
     """
     spark = points_df.sparkSession
     # A point that cannot be written stops the write where it is met; nothing is evaluated beforehand.
     line = F.coalesce("canonical_lp", F.raise_error(F.lit(AMBIGUOUS)).cast("string"))
-    work = directory.rstrip("/") + "/_parts"
+    work = directory.rstrip("/") + "/_attempts"
     placed = (
-        points_df.select("slice_ordinal", "series_key", "time_ns", line.alias("canonical_lp"))
-        .repartition("slice_ordinal")
-        .sortWithinPartitions("slice_ordinal", "series_key", "time_ns", "canonical_lp")
-        .select("slice_ordinal", "canonical_lp")
+        points_df.select(F.col("slice_ordinal").cast("long").alias("ordinal"), "series_key", "time_ns", line.alias("line"))
+        .repartition("ordinal").sortWithinPartitions("ordinal", "series_key", "time_ns", "line").select("ordinal", "line")
     )
     try:
-        placed.write.mode("overwrite").partitionBy("slice_ordinal").option("compression", "gzip").option(
-            "maxRecordsPerFile", 0).text(work)
+        attempts = commit.write_attempts(placed, work)
     except Exception as error:
         if AMBIGUOUS in str(error):
             raise RejectedInput(AMBIGUOUS) from error
         raise
-    written = {}
-    for path in files.listing(spark, work):
-        if "slice_ordinal=" in path:
-            ordinal = int(path.split("slice_ordinal=")[1].split("/")[0])
-            if ordinal in written:
-                raise RejectedInput("ARTIFACT_STATE", f"slice {ordinal} has two files")
-            written[ordinal] = path
-    for row in slices.select("ordinal", "file").toLocalIterator():
-        target = directory.rstrip("/") + "/" + row["file"]
-        if files.exists(spark, target):
-            raise RejectedInput("ARTIFACT_STATE", f"{target} exists")
-        if row["ordinal"] in written:
-            files.rename(spark, written[row["ordinal"]], target)
-        else:
-            files.write_bytes(spark, target, files.EMPTY_GZIP)
+    commit.commit(slices, attempts, directory)
     files.delete(spark, work)
     return fragments(spark, slices, directory)
 
