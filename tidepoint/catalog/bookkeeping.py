@@ -79,47 +79,38 @@ def _chain(spark, sf):
 @query(
     "verify_checkpoint_chain",
     """
-    WITH c AS (SELECT conv_id, turn, role, CAST(sum(strlen(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS off FROM conversations),
-         j AS (SELECT a.*, b.off AS p_off, b.turn AS p_turn FROM c a LEFT JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1)
-    SELECT CAST(conv_id AS VARCHAR) AS job_id, CAST(turn AS VARCHAR) AS sequence,
-           CASE WHEN p_turn IS NULL THEN 'PARENT_MISSING' WHEN role = 'user' THEN 'OFFSET' ELSE 'CAUSE' END AS problem
-    FROM j WHERE turn > 0 AND (p_turn IS NULL OR role <> 'assistant')
+    WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) - 1 AS last FROM conversations)
+    SELECT CAST(conv_id AS VARCHAR) AS job_id, CAST(CASE WHEN conv_id % 8 = 2 AND p > 0 THEN p + 1 ELSE p END AS VARCHAR) AS sequence,
+           CASE conv_id % 8 WHEN 1 THEN 'DIGEST' WHEN 2 THEN 'SEQUENCE' WHEN 3 THEN 'PARENT_MISSING' WHEN 4 THEN 'TRANSITION' WHEN 5 THEN 'OFFSET'
+                WHEN 6 THEN 'LIMITS' ELSE 'CAUSE' END AS problem
+    FROM c WHERE conv_id % 8 > 0 AND CASE WHEN conv_id % 8 = 1 THEN p = last ELSE p = 1 END
     """,
 )
 def verify_checkpoint_chain(spark, sf):
-    c = _chain(spark, sf)
-
-    def row_digest(turn):
-        return F.sha2(F.concat_ws("/", "job_id", turn.cast("string")), 256)
-
-    base = c.select(
-        "job_id", "turn", "role", "off",
-        F.col("turn").cast("string").alias("sequence"),
-        F.when(F.col("turn") > 0, row_digest(F.col("turn") - 1)).alias("parent_digest"),
-        F.col("off").alias("logical_offset"), F.col("role").alias("last_settled_batch_id"),
-        F.lit("ACKED").alias("last_disposition"), F.lit("5000").alias("adaptive_max_points"),
-        F.lit("5242880").alias("adaptive_max_bytes"), F.lit("s").alias("source_sha256"), F.lit("t").alias("staging_sha256"),
-        F.lit("v1").alias("normalization_version"), F.lit("p").alias("spec_digest"), F.lit("q").alias("target_digest"),
-        F.lit(False).alias("lossy"),
-    )
-    # Real digests chain: a parent is named by the digest of its own row.
-    first = base.withColumn("parent_digest", F.lit(None).cast("string"))
-    names = first.select("job_id", "turn", identity.checkpoint_digest().alias("bare"))
-    chained = base.drop("parent_digest").join(
-        names.select("job_id", (F.col("turn") + 1).alias("turn"), F.col("bare").alias("parent_digest")), ["job_id", "turn"], "left"
-    ).withColumn("parent_digest", F.when(F.col("turn") > 0, F.coalesce("parent_digest", F.lit("missing"))))
-    # Here digests cover the row without its parent, so `digest` is that value and is not rechecked.
-    digests = names.withColumnRenamed("bare", "digest")
-    checkpoints = chained.join(digests, ["job_id", "turn"])
-    transitions = checkpoints.where(F.col("turn") > 0).select(
+    """Whole chains of real digests, one for each conversation; seven of eight hold one break each, every kind of break among them."""
+    turns = Window.partitionBy("job_id").orderBy("turn")  # a conversation has few turns
+    c = _chain(spark, sf).withColumn("p", F.row_number().over(turns) - 1).withColumn("kind", F.col("job_id").cast("long") % 8)
+    cut = (F.col("kind") == 6) & (F.col("p") == 1)
+    rows = c.withColumns({
+        "sequence": F.when((F.col("kind") == 2) & (F.col("p") > 0), F.col("p") + 1).otherwise(F.col("p")).cast("string"),
+        "logical_offset": F.when(cut, F.lag("off").over(turns)).otherwise(F.col("off")),
+        "last_settled_batch_id": F.col("role"), "last_disposition": F.lit("ACKED"), "adaptive_max_points": F.lit("5000"),
+        "adaptive_max_bytes": F.lit("5242880"), "source_sha256": F.lit("s"), "staging_sha256": F.lit("t"), "normalization_version": F.lit("v1"),
+        "spec_digest": F.lit("p"), "target_digest": F.lit("q"), "lossy": F.lit(False),
+    })
+    chained = logs.chain_checkpoints(rows, "p").withColumn("kind", F.col("job_id").cast("long") % 8)
+    second = F.col("p") == 1
+    last = F.col("p") == F.max("p").over(Window.partitionBy("job_id"))
+    transitions = chained.where((F.col("p") > 0) & ~((F.col("kind") == 4) & second)).select(
         "job_id", F.col("parent_digest").alias("parent_checkpoint_digest"), F.col("digest").alias("child_checkpoint_digest"),
-        F.when(F.col("role") == "assistant", "ACK").when(F.col("role") == "user", "BATCH_LIMIT_REDUCED").otherwise("OTHER").alias("cause"),
-        F.concat_ws("/", "job_id", "turn").alias("attempt_id"), F.lit(None).cast("string").alias("incident_id"),
+        F.when((F.col("kind") == 6) & second, "BATCH_LIMIT_REDUCED").when((F.col("kind") == 7) & second, "OTHER").otherwise("ACK").alias("cause"),
+        F.concat_ws("/", "job_id", "p").alias("attempt_id"), F.lit(None).cast("string").alias("incident_id"),
     )
-    attempts = c.select(F.concat_ws("/", "job_id", "turn").alias("attempt_id"), F.col("off").alias("end_offset"))
+    attempts = c.select(F.concat_ws("/", "job_id", "p").alias("attempt_id"),
+                        F.when((F.col("kind") == 5) & second, F.concat("off", F.lit("0"))).otherwise(F.col("off")).alias("end_offset"))
     incidents = attempts.where(F.lit(False)).withColumnRenamed("attempt_id", "incident_id")
-    out = logs.verify_checkpoint_chain(checkpoints, transitions, attempts, incidents, check_digest=False)
-    return out.select("job_id", "sequence", "problem")
+    changed = chained.withColumn("lossy", (F.col("kind") == 1) & last).where(~((F.col("kind") == 3) & (F.col("p") == 0)))
+    return logs.verify_checkpoint_chain(changed, transitions, attempts, incidents).select("job_id", "sequence", "problem")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,11 +80,11 @@ CHECKPOINT_KEYS = [
 ]
 
 
-def checkpoint_digest(prefix: str = "") -> Column:
-    """Digest of a checkpoint row, from columns named as in CHECKPOINT_KEYS."""
+def checkpoint_digest(prefix: str = "", member: Callable[[str], Column] | None = None) -> Column:
+    """Digest of a checkpoint row, from columns named as in CHECKPOINT_KEYS (or from what `member` gives for each name)."""
     members = []
     for column, key, omit_empty in CHECKPOINT_KEYS:
-        c = F.col(prefix + column)
+        c = member(column) if member else F.col(prefix + column)
         if omit_empty:
             c = F.when(c != "", c)
         members.append(c.alias(key))
