@@ -137,6 +137,12 @@ def _with_numbers(df: DataFrame) -> DataFrame:
     return evaluate_once(staged.withColumn("fields", merged).drop("_slow"))
 
 
+def reject_oversize(df: DataFrame, limit: int = MAX_POINT_BYTES) -> DataFrame:
+    """`df` with POINT_TOO_LARGE as `code` where there is none yet and the canonical line has more than `limit` bytes."""
+    too_large = F.octet_length("canonical_lp") > limit
+    return df.withColumn("code", F.coalesce("code", F.when(too_large, F.lit(POINT_TOO_LARGE))))
+
+
 def assemble(df: DataFrame, keep: list[str]) -> DataFrame:
     """Working rows -> points with a `code`; `keep` names columns carried along."""
     df = _with_numbers(df)
@@ -166,8 +172,7 @@ def assemble(df: DataFrame, keep: list[str]) -> DataFrame:
         "series_key": series_key(F.col("measurement"), F.col("tags")), "_set": field_set(F.col("fields")),
     }))
     df = df.withColumn("canonical_lp", F.concat_ws(" ", "series_key", "_set", F.col("time_ns").cast("string")))
-    too_large = F.octet_length("canonical_lp") > MAX_POINT_BYTES
-    df = evaluate_once(df.withColumn("code", F.coalesce("code", F.when(too_large, F.lit(POINT_TOO_LARGE)))))
+    df = evaluate_once(reject_oversize(df))
     good = F.col("code").isNull()
     return df.select(
         *keep,

@@ -70,6 +70,23 @@ def check_csv_mapping(header: list[str], mapping: CsvMapping) -> None:
         reject("unknown field kind")
 
 
+def check_headers(headers: DataFrame, mapping: CsvMapping, column: str = "header") -> DataFrame:
+    """`headers` with the `code` that check_csv_mapping gives each of them (null: every column is mapped once)."""
+    def code(header) -> str | None:
+        try:
+            check_csv_mapping(list([] if header is None else header), mapping)
+        except RejectedInput as problem:
+            return problem.code
+        return None
+
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(code=[code(h) for h in batch[column]])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in headers.schema.fields)
+    return headers.mapInPandas(run, f"{fields}, code string")
+
+
 def points_from_csv(df: DataFrame, mapping: CsvMapping, keep: list[str] | None = None) -> DataFrame:
     """All-STRING rows (columns named as the header) -> point columns plus `code`.
 
