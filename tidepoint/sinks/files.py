@@ -23,18 +23,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def rename(spark: SparkSession, source: str, target: str) -> None:
-    fs, p = _fs(spark, source)
-    if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(target)):
-        raise OSError(f"cannot rename {source} to {target}")
-
-
-def listing(spark: SparkSession, path: str) -> list[str]:
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names right below a folder, without those of partition directories."""
     fs, p = _fs(spark, path)
-    found, it = [], fs.listFiles(p, True)
-    while it.hasNext():
-        found.append(it.next().getPath().toString())
-    return found
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return [n for n in names if "=" not in n]
 
 
 def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
@@ -49,10 +42,3 @@ def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
 def read_text(spark: SparkSession, path: str) -> str:
     rows = spark.read.option("wholetext", True).text(path).collect()
     return rows[0]["value"]
-
-
-def partition_path(root: str, values: dict) -> str:
-    from urllib.parse import quote
-
-    parts = [f"{k}={quote(str(v), safe=' ,+@!$&()~-._')}" for k, v in values.items()]
-    return "/".join([root.rstrip("/"), *parts])
