@@ -31,14 +31,21 @@ def stream_ingest(spark, sf):
     """,
 )
 def continuous_downsample(spark, sf):
+    """Events come in four files, each over the whole time, so that most rows of the later ones are late."""
     root = shared_dir(spark, "downsample")
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    e = table(spark, sf, "events")
+    for part in range(4):
+        e.where(F.col("event_id") % 4 == part).write.mode("append").parquet(root + "/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(root + "/in")
     form = ("1h", [("mean", "value", "mean_value"), ("count", "value", "n")], ["event_type"])
     out = downsample.continuous_downsample(stream, *form, "1 hour", "ts")
     downsample.write_downsample(out, root + "/out", root + "/state").awaitTermination()
-    closed = spark.read.parquet(root + "/out")
-    return rounded(closed.unionByName(downsample.open_windows(table(spark, sf, "events"), closed, *form, "ts")), "mean_value")
+    downsample.note_late(stream, root + "/notes", root + "/notes-state", "1h", ["event_type"], "1 hour", "ts").awaitTermination()
+    closed, history = spark.read.schema(out.schema).parquet(root + "/out"), spark.read.schema(e.schema).parquet(root + "/in")
+    late = spark.read.schema("bucket_ns long, event_type string").parquet(root + "/notes/late")
+    whole = downsample.revised(closed, history, late, *form, "ts").unionByName(
+        downsample.open_windows(history, closed, *form, "ts").join(late, ["bucket_ns", "event_type"], "left_anti"))
+    return rounded(whole, "mean_value")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

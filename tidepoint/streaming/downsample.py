@@ -14,8 +14,8 @@ def continuous_downsample(
     watermark: str = "1 hour", time: str = "time",
 ) -> DataFrame:
     """Windowed aggregate of a stream, for append mode: a window comes out once the watermark
-    has passed its end; rows later than that are dropped. `time` is a timestamp column.
-    open_windows gives what is still open.
+    has passed its end; rows later than that miss it. `time` is a timestamp column.
+    open_windows gives what is still open, note_late and revised mend what late rows missed.
     """
     stamped = stream.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", watermark)
     return _windows(stamped, interval, aggregates, tags)
@@ -43,6 +43,59 @@ def open_windows(
     return _windows(rows, interval, aggregates, tags)
 
 
+def note_late(
+    stream: DataFrame, path: str, checkpoint_dir: str, interval: str, tags: list[str] | None = None, watermark: str = "1 hour",
+    time: str = "time", trigger: dict | None = None,
+):
+    """Write, batch by batch, the windows (bucket_ns, tags) whose rows may have come too late.
+
+    Runs beside the aggregate over the same source. Its batches may be cut otherwise, so a window counts as missed when it ends
+    before the newest time seen so far, this batch included, less the watermark: never fewer windows than the aggregate missed.
+    A batch that runs again writes its own folders again.
+    """
+    width, delay, tags = _seconds(interval) * 1_000_000, duration_ns(_short(watermark)) // 1000, list(tags or [])
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        at = F.unix_micros(F.col(time).cast("timestamp"))
+        batch.agg(F.max(at).alias("top")).write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+        # One row a batch.
+        top = spark.read.parquet(f"{path}/marks").where(F.col("batch") <= number).agg(F.max("top")).first()[0]
+        start = at - F.pmod(at, F.lit(width))
+        late = batch.where(start + width <= F.lit(None if top is None else top - delay).cast("long"))
+        late.select((start * 1000).alias("bucket_ns"), *tags).distinct().write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_dir).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _short(text: str) -> str:
+    """'1 hour' -> '1h'."""
+    number, unit = text.split()
+    return number + {"second": "s", "minute": "m", "hour": "h", "day": "d"}[unit.rstrip("s")]
+
+
+def revised(
+    closed: DataFrame, history: DataFrame, late: DataFrame, interval: str, aggregates: list[tuple[str, str, str]],
+    tags: list[str] | None = None, time: str = "time",
+) -> DataFrame:
+    """`closed` with the windows named in `late` (bucket_ns, tags) made anew from the rows behind the stream."""
+    tags = list(tags or [])
+    width = _seconds(interval) * 1_000_000
+    keys = ["bucket_ns", *tags]
+    missed = late.select(*keys).distinct()
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    named = history.withColumn("_bucket", (at - F.pmod(at, F.lit(width))) * 1000)
+
+    def met(rows: DataFrame, bucket: str):
+        found = F.col(f"rows.{bucket}") == F.col("missed.bucket_ns")
+        for t in tags:
+            found = found & F.col(f"rows.{t}").eqNullSafe(F.col(f"missed.{t}"))
+        return rows.alias("rows").join(missed.alias("missed"), found, "left_anti" if rows is closed else "left_semi")
+
+    again = met(named, "_bucket").drop("_bucket").withColumn("_time", F.col(time).cast("timestamp"))
+    return met(closed, "bucket_ns").unionByName(_windows(again, interval, aggregates, tags))
+
+
 def _windows(stamped: DataFrame, interval: str, aggregates: list[tuple[str, str, str]], tags: list[str] | None) -> DataFrame:
     if any(fn not in AGGREGATES for fn, _, _ in aggregates):
         raise RejectedInput("AGGREGATE_NOT_ALLOWED")
