@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidepoint.llm import decontaminate, line_quality, mixing, near_dedup, ring
 from tidepoint.llm.common import stored, table
 
-ORACLE_SQL = None  # signatures and multipliers are no SQL; tests/llm/test_pipeline.py has the plain version
+ORACLE_SQL = None  # signatures and multipliers are no SQL; tests/llm/test_tables.py and test_round3.py compare stages and run()
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

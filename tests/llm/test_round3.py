@@ -10,7 +10,9 @@ import pytest
 from helpers import AWKWARD, docs, lower
 from pyspark.sql import functions as F
 
-from tidepoint.llm import centroids, exact_dedup, phrases
+import corpus_pipeline
+from tidepoint.llm import centroids, decontaminate, exact_dedup, line_dedup, line_quality, mixing, near_dedup, phrases, ring
+from tidepoint.llm.common import stored
 
 COPIES = AWKWARD + [(100 + i, "the same text") for i in range(300)] + [(50, "the same text "), (51, "The same text"), (None, None), (None, None)]
 
@@ -169,3 +171,34 @@ def test_only_the_first_phrases_and_none(spark, monkeypatch):
     table = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(TEXTS)], "doc_id long, text string, lang string")
     assert sorted(tuple(r)[:8] for r in phrases.collocations(table, at_least=7, longest=3, top=4).collect()) == plain_phrases(TEXTS, 7, 3, 4)
     assert phrases.collocations(table.limit(0)).collect() == [] and phrases.collocations(table, at_least=10**6).collect() == []
+
+
+CLASHING = ["size", "source_size", "target", "copies", "taken", "shard", "slot", "_gone", "kept", "id", "n", "a", "b", "bucket", "component", "rows"]
+
+
+def test_clashing_columns_pass_or_give_way(spark):
+    table = docs(spark, AWKWARD + [(60 + i, "some words that stand here for the third time or so\nnext line", "s") for i in range(3)])
+    table = table.withColumns({c: F.lit(c) for c in CLASHING})
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string").withColumns({c: F.lit(c) for c in CLASHING})
+    for made in (line_quality.clean(table), near_dedup.deduplicated(table), line_dedup.clean(table), decontaminate.clean(table, bench),
+                 mixing.mixed(table), exact_dedup.deduplicated(table)):
+        back = stored(made, "clash")
+        assert back.columns == table.columns and all(r[c] == c for r in back.collect() for c in CLASHING)
+    mix = stored(mixing.mix(table), "clash")
+    assert sorted(mix.columns) == sorted(table.columns) and all(r["copies"] in range(4) for r in mix.collect())
+    placed = stored(ring.assign(table), "clash")
+    assert sorted(placed.columns) == sorted(table.columns) and placed.count() == table.count()
+    assert {r["slot"] for r in placed.collect()} == {0} and placed.select("shard").distinct().count() == table.count()
+
+
+def test_pipeline_runs_over_awkward_and_empty_tables(spark, tmp_path):
+    prose = " ".join(f"word{i} runs{i} over the hill{i} and sees a river{i}." for i in range(12))
+    rows = AWKWARD + [(70, prose), (71, prose), (70, prose), (None, prose + " Once."), (72, prose.replace("word5", "other5")), (73, prose.upper() + " END.")]
+    for name, table in (("some", docs(spark, rows).withColumns({c: F.lit(c) for c in CLASHING})), ("none", docs(spark, []))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, None), (2, "one two")], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    made = corpus_pipeline.run(spark, str(tmp_path / "some"))
+    got = made.collect()
+    assert {r.doc_id for r in got} <= {70, None} and 70 in {r.doc_id for r in got} and {"shard", "slot"} <= set(made.columns)
+    assert sorted(r.slot for r in got if r.shard == got[0].shard)[0] == 0
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []

@@ -5,9 +5,10 @@ Equal sets are one class, named by its smallest doc_id; classes get a signature
 The forest has 32 trees, each an order of signature values. In an order, two classes with a
 common prefix of MIN_DEPTH values are neighbours. Depth adapts to the region: a prefix shared by at
 most LEAF classes yields all its pairs; a denser region pairs each class with the region's
-centre and is split by longer prefixes, down to 16 values. The centre is the class that meets most
-others over all trees: in a crowd of copies with random edits that is their common origin, so a
-crowd costs one pair for each member and region and not its square.
+centre. The centre is the class that meets most others over all trees: in a crowd of copies with random
+edits that is their common origin, so a crowd costs one pair for each member and region and not its
+square. These pairs are confirmed first; only classes that do not share the centre's component then go on
+to longer prefixes, down to 16 values, so a crowd is walked through once.
 
 What the centres of dense regions leave open is found exactly: the classes of dense regions meet on
 their rarest shingles (two sets with a similarity of 0.75 or more share one among the first
@@ -117,7 +118,7 @@ def _row_names() -> dict:
 
 
 def _buckets(rows: DataFrame, level: int) -> DataFrame:
-    """tree, bucket, id, n of a level: from classes (level 0) or from rows of the level above with their signatures."""
+    """tree, bucket, id, n (and meets) of a level: from classes (level 0) or from rows of the level above with their signatures."""
     low = DEPTHS[level - 1] if level else 0
     orders = ORDERS[:, low : DEPTHS[level]]
 
@@ -130,58 +131,79 @@ def _buckets(rows: DataFrame, level: int) -> DataFrame:
                 tree = batch.column("tree").to_numpy()
                 picked = np.take_along_axis(sig, orders[tree], 1)
                 above = batch.column("bucket").to_numpy().view(np.uint64)
-                ids, n = batch.column("id"), batch.column("n")
+                kept = [batch.column(c) for c in ("id", "n", "meets")]
             else:
                 picked = sig[:, orders].reshape(-1, orders.shape[1])
                 tree = np.tile(np.arange(TREES, dtype=np.int32), len(batch))
                 above = tree.astype(np.uint64)
-                ids, n = (pa.array(np.repeat(batch.column(c).to_numpy(), TREES)) for c in ("id", "n"))
+                kept = [pa.array(np.repeat(batch.column(c).to_numpy(), TREES)) for c in ("id", "n")]
             for k in range(picked.shape[1]):
                 above = mix(above * np.uint64(0x9E3779B97F4A7C15) + picked[:, k] + np.uint64(1))
-            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(above.view(np.int64)), ids, n], ["tree", "bucket", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(above.view(np.int64)), *kept], names)
 
-    return rows.mapInArrow(prefix, "tree int, bucket long, id long, n int")
+    names = ["tree", "bucket", "id", "n"] + (["meets"] if level else [])
+    return rows.mapInArrow(prefix, "tree int, bucket long, id long, n int" + (", meets long" if level else ""))
 
 
 def _similar_size(a: str, b: str):
     return PERCENT * F.greatest(a, b) <= 100 * F.least(a, b)
 
 
-def forest_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """a < b: candidate pairs of `classes` (id, n, sig); id: the classes of dense regions."""
-    found, above = [], None
-    for level in range(len(DEPTHS)):
-        if level == 0:
-            rows = _buckets(classes.select("id", "n", "sig"), 0)
-        else:
-            rows = _buckets(above.join(classes.select("id", "sig"), "id"), level)
-        shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        rows = stored(rows.join(shared, "bucket"), "forest-regions")
-        if level == 0:
-            meets = stored(rows.groupBy("id").agg(F.sum("c").alias("meets")), "forest-meets")
-        leaf = rows.where(F.col("c") <= LEAF).select("bucket", "id", "n")
-        other = leaf.select("bucket", F.col("id").alias("b"), F.col("n").alias("m"))
-        found.append(leaf.join(other, "bucket").where((F.col("id") < F.col("b")) & _similar_size("n", "m")).select(F.col("id").alias("a"), "b"))
-        dense = rows.where(F.col("c") > LEAF)
-        if level == 0:
-            crowded = dense.select("id").distinct()
-        if dense.isEmpty():
+def _regions(rows: DataFrame) -> DataFrame:
+    """`rows` of a level in regions of two classes or more, with c, the number of classes there."""
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return rows.join(shared, "bucket")
+
+
+def _centred(rows: DataFrame, name: str) -> DataFrame:
+    """Stored rows with their region's centre and its size m: of the region's classes the one that meets most others on level 0."""
+    centre = rows.groupBy("bucket").agg(F.max(F.struct("meets", -F.col("id"), "id", "n")).alias("top")).select(
+        "bucket", F.col("top.id").alias("centre"), F.col("top.n").alias("m"))
+    return stored(rows.join(centre, "bucket"), name)
+
+
+def _region_pairs(rows: DataFrame) -> DataFrame:
+    """a < b: all pairs of small regions; in dense ones every class with the centre."""
+    leaf = rows.where(F.col("c") <= LEAF).select("bucket", "id", "n")
+    other = leaf.select("bucket", F.col("id").alias("b"), F.col("n").alias("k"))
+    small = leaf.join(other, "bucket").where((F.col("id") < F.col("b")) & _similar_size("n", "k")).select(F.col("id").alias("a"), "b")
+    dense = rows.where((F.col("c") > LEAF) & (F.col("id") != F.col("centre")) & _similar_size("n", "m"))
+    return small.union(dense.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))).distinct()
+
+
+def forest_top(classes: DataFrame) -> DataFrame:
+    """Rows of the first depth: tree, bucket, id, n, meets, c, centre, m; meets counts a class's neighbours over all trees."""
+    rows = _regions(_buckets(classes.select("id", "n", "sig"), 0))
+    # A class has at most one row a tree.
+    each = rows.groupBy("id", "n").agg(F.sum("c").alias("meets"), F.collect_list(F.struct("tree", "bucket", "c")).alias("r"))
+    each = each.select("id", "n", "meets", F.explode("r").alias("r")).select("r.tree", "r.bucket", "id", "n", "meets", "r.c")
+    return _centred(stored(each, "forest-rows"), "forest-regions")
+
+
+def forest_below(classes: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
+    """a < b: pairs of the further depths.
+
+    In a dense region only the classes that do not share the centre's component (`named`: id, component) go deeper.
+    """
+    a, b = named.select("id", F.col("component").alias("_a")), named.select(F.col("id").alias("centre"), F.col("component").alias("_b"))
+    apart = rows.join(a, "id", "left").join(b, "centre", "left").where(F.coalesce("_a", "id") != F.coalesce("_b", "centre"))
+    columns = ["tree", "bucket", "id", "n", "meets"]
+    above = stored(apart.where(F.col("c") > LEAF).select(*columns), "forest-deeper")
+    found = []
+    for level in range(1, len(DEPTHS)):
+        if above.isEmpty():
             break
-        centre = dense.join(meets, "id").groupBy("bucket").agg(F.max(F.struct("meets", -F.col("id"), "id", "n")).alias("top"))
-        found.append(dense.join(centre.select("bucket", F.col("top.id").alias("b"), F.col("top.n").alias("m")), "bucket").where(
-            (F.col("id") != F.col("b")) & _similar_size("n", "m")
-        ).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")))
-        above = dense.select("tree", "bucket", "id", "n")
-    pairs = found[0]
-    for more in found[1:]:
+        rows = _centred(_regions(_buckets(above.join(classes.select("id", "sig"), "id"), level)), "forest-regions")
+        found.append(stored(_region_pairs(rows), "forest-pairs"))
+        above = rows.where(F.col("c") > LEAF).select(*columns)
+    pairs = classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    for more in found:
         pairs = pairs.union(more)
-    return pairs.distinct(), crowded
+    return pairs.distinct()
 
 
 def unpacked(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    return wide.view(np.uint64).ravel()
+    return np.frombuffer(packed, np.uint64)
 
 
 def _counter(shingles: np.ndarray) -> np.ndarray:
@@ -237,6 +259,7 @@ def crowd_pairs(sets: DataFrame, named: DataFrame) -> DataFrame:
     """a < b: all pairs of `sets` (id, shingles) that can reach the threshold and do not share a component of `named`."""
     counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
     rows = stored(posts(sets, counts).join(named, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-posts")
+    counts.destroy()
     shared = rows.groupBy("shingle").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.max("first").alias("f")).where("f and l < h")
     rows = stored(rows.join(shared.select("shingle"), "shingle", "left_semi"), "near-posts")
     main = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(
@@ -268,11 +291,10 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, shingles (5 bytes each, sorted) of the named classes, made anew from their texts."""
+    """id, shingles (8 bytes each, sorted) of the named classes, made anew from their texts."""
     def run(batches):
         for batch in batches:
-            sets = [(s & np.uint64((1 << 40) - 1)) for _, s in shingle_sets(batch.column("text"))]
-            packed = [np.unique(s).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for s in sets]
+            packed = [s.tobytes() for _, s in shingle_sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["id", "shingles"])
 
     texts = docs.select(F.col("doc_id").alias("id"), "text")
@@ -303,8 +325,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(sketch.where("set_key is not null").groupBy("set_key").agg(
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n_shingles", "sig"))).alias("s")
     ).where("s is not null").select("set_key", F.col("s.doc_id").alias("id"), F.col("s.n_shingles").cast("int").alias("n"), "s.sig"), "near-classes")
-    found, crowded = forest_pairs(classes)
-    pairs, crowded = stored(likely(found, classes), "near-pairs"), stored(crowded, "near-crowded")
+    regions = forest_top(classes)
+    pairs = stored(likely(_region_pairs(regions), classes), "near-pairs")
+    crowded = stored(regions.where(F.col("c") > LEAF).select("id").distinct(), "near-crowded")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded).distinct(), "near-ids")
     sets = stored(full_sets(docs, ids), "near-sets")
     best = pairs.select("a", "b", "alike").union(pairs.select("b", "a", "alike")).groupBy("a").agg(
@@ -313,8 +336,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                        (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_semi")
     links = stored(confirmed(first, sets), "near-links")
     named = stored(components(links), "near-components")
-    a, b = (named.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
     done = first.select("a", "b")
+    if not crowded.isEmpty():  # what goes deeper meets on longer prefixes; all of it is crowded, so its sets are at hand
+        deeper = likely(forest_below(classes, regions, named), classes)
+        pairs = stored(pairs.union(deeper).select("a", "b").distinct(), "near-pairs")
+    a, b = (named.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
     rest = pairs.join(a, "a", "left").join(b, "b", "left").where(
         F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(done, ["a", "b"], "left_anti")
     more = stored(confirmed(rest, sets), "near-links")
