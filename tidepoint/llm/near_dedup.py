@@ -7,8 +7,8 @@ common prefix of MIN_DEPTH values are neighbours. Depth adapts to the region: a
 most LEAF classes yields all its pairs; a denser region pairs each class with the region's
 centre. The centre is the class that meets most others over all trees: in a crowd of copies with random
 edits that is their common origin, so a crowd costs one pair for each member and region and not its
-square. These pairs are confirmed first; only classes that do not share the centre's component then go on
-to longer prefixes, down to 16 values, so a crowd is walked through once.
+square. All pairs of the first depth are confirmed first; only classes that then do not share the centre's
+component go on to longer prefixes, down to 16 values, so a crowd is walked through once.
 
 What the centres of dense regions leave open is found exactly: the classes of dense regions meet on
 their rarest shingles (two sets with a similarity of 0.75 or more share one among the first
@@ -318,6 +318,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
+def _more_links(pairs: DataFrame, done: DataFrame, links: DataFrame, named: DataFrame, sets: DataFrame):
+    """Confirm the pairs (a, b) that are neither `done` nor inside a component of `named`: links, named and done anew."""
+    a, b = (named.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    rest = stored(pairs.join(a, "a", "left").join(b, "b", "left").where(
+        F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "near-pairs")
+    more = stored(confirmed(rest, sets), "near-links")
+    if not more.isEmpty():
+        links = links.union(more)
+        named = stored(components(links), "near-components")
+    return links, named, done.union(rest)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, row_a, row_b, n_shingles, component_id, kept of every row of `docs`."""
     docs = fresh(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumns(_row_names())
@@ -336,22 +348,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                        (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_semi")
     links = stored(confirmed(first, sets), "near-links")
     named = stored(components(links), "near-components")
-    done = first.select("a", "b")
+    links, named, done = _more_links(pairs, first.select("a", "b"), links, named, sets)
     if not crowded.isEmpty():  # what goes deeper meets on longer prefixes; all of it is crowded, so its sets are at hand
-        deeper = likely(forest_below(classes, regions, named), classes)
-        pairs = stored(pairs.union(deeper).select("a", "b").distinct(), "near-pairs")
-    a, b = (named.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-    rest = pairs.join(a, "a", "left").join(b, "b", "left").where(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(done, ["a", "b"], "left_anti")
-    more = stored(confirmed(rest, sets), "near-links")
-    if not more.isEmpty():
-        links = links.union(more)
-        named = stored(components(links), "near-components")
+        deeper = stored(likely(forest_below(classes, regions, named), classes), "near-pairs")
+        links, named, done = _more_links(deeper, done, links, named, sets)
     if not crowded.isEmpty():
         left = likely(crowd_pairs(sets.join(crowded, "id", "left_semi"), named), classes).select("a", "b")
-        more = stored(confirmed(left.join(done.union(rest), ["a", "b"], "left_anti"), sets), "near-links")
-        if not more.isEmpty():
-            named = stored(components(links.union(more)), "near-components")
+        links, named, done = _more_links(left, done, links, named, sets)
     known = classes.select("set_key", "id").join(named, "id", "left").select(
         "set_key", F.coalesce("component", "id").alias("component"))
     return sketch.drop("sig").join(known, "set_key", "left").select(
