@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from tidepoint.catalog.registry import (
     DAY, E, EVENTS, FEB_1, HOUR, JAN_1, O, SECOND, event_keys, event_points, events, lineitem, orders, query, rounded, shared_dir, table,
 )
-from tidepoint.operators import aggregate, mutate, schema, select
+from tidepoint.functions import points
+from tidepoint.operators import aggregate, key_catalog, mutate, schema, select
 from tidepoint.plans import slices
 from tidepoint.sources import tables
 
@@ -427,3 +430,68 @@ def dedupe_last(spark, sf):
         aggregate.bucket_ns(HOUR, F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time_ns"), "value", "event_id",
     )
     return select.dedupe_last(e, ["event_id"])
+
+
+def _tagged_events(spark, sf):
+    """Events as points whose measurements, tag keys and field keys come from the data."""
+    shard = F.concat(F.lit("shard_"), F.pmod("user_id", F.lit(5)).cast("string"))
+    entries = F.array(
+        F.struct(F.lit("k").alias("key"), F.get_json_object("props", "$.k").alias("value")),
+        F.struct(shard.alias("key"), F.col("user_id").cast("string").alias("value")),
+    )
+    e = table(spark, sf, "events")
+    field = F.when(F.col("value") < 10, F.lit("low")).otherwise(F.lit("high"))
+    return e.select(
+        F.col("event_type").alias("measurement"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time_ns"),
+        F.map_from_entries(entries).alias("tags"), F.create_map(field, F.struct(F.lit("float64").alias("kind"))).alias("fields"),
+        points.series_key(F.col("event_type"), entries).alias("series_key"),
+    )
+
+
+_TAGGED = """
+    SELECT event_type AS measurement, ts, json_extract_string(props, '$.k') AS k, 'shard_' || (user_id % 5) AS shard,
+           CAST(user_id AS VARCHAR) AS u, CASE WHEN value < 10 THEN 'low' ELSE 'high' END AS field FROM events
+"""
+
+
+@query(
+    "catalog_counts",
+    f"""
+    WITH e AS ({_TAGGED}), v AS (SELECT measurement, 'k' AS name, k AS value FROM e UNION SELECT measurement, shard, u FROM e)
+    SELECT measurement, series, tag_keys, tag_values, field_keys, points, true AS sketch_close
+    FROM (SELECT measurement, count(DISTINCT (k, u)) AS series, count(DISTINCT field) AS field_keys, count(*) AS points FROM e GROUP BY measurement)
+    JOIN (SELECT measurement, count(DISTINCT name) AS tag_keys, count(DISTINCT (name, value)) AS tag_values FROM v GROUP BY measurement) USING (measurement)
+    """,
+)
+def catalog_counts(spark, sf):
+    """Cardinalities from the stored key sets; the sketches' own estimate lies within a tenth."""
+    folder = shared_dir(spark, "keys")
+    key_catalog.refresh(_tagged_events(spark, sf), folder)
+    counts = key_catalog.measurements(spark, folder).withColumnRenamed("name", "measurement")
+    for of, name in (("series", "series"), ("tag_key", "tag_keys"), ("tag_value", "tag_values"), ("field_key", "field_keys")):
+        counts = counts.join(key_catalog.cardinality(spark, folder, of).withColumnRenamed("cardinality", name), "measurement")
+    about = key_catalog.cardinality(spark, folder, "series", approximate=True).withColumnRenamed("cardinality", "about")
+    close = F.abs(F.col("about") - F.col("series")) * 10 <= F.col("series")
+    return counts.join(about, "measurement").withColumn("sketch_close", close).drop("about")
+
+
+@query(
+    "catalog_after_delete",
+    f"""
+    WITH e AS ({_TAGGED}), left_ AS (
+        SELECT * FROM e WHERE ts >= TIMESTAMP '2024-01-05' AND NOT (measurement = 'error' AND ts < TIMESTAMP '2024-01-20')
+    )
+    SELECT measurement, name, value, count(*) AS points
+    FROM (SELECT measurement, 'k' AS name, k AS value FROM left_ UNION ALL SELECT measurement, shard, u FROM left_)
+    GROUP BY measurement, name, value
+    """,
+)
+def catalog_after_delete(spark, sf):
+    """Tag values since a day, after the days before another one lost a measurement; only these days are read again."""
+    folder = shared_dir(spark, "keys")
+    events_ = _tagged_events(spark, sf)
+    key_catalog.refresh(events_, folder)
+    touched = events_.where(F.col("time_ns") < JAN_1 + 19 * DAY)
+    days = touched.select(mutate.day_of(F.col("time_ns")).alias("day")).distinct()
+    key_catalog.refresh(touched.where(F.col("measurement") != "error"), folder, days)
+    return key_catalog.keys(spark, folder, "tag_value", since=datetime.date(2024, 1, 5))
