@@ -23,6 +23,11 @@ POINT_MEMBERS = ("schemaVersion", "measurement", "tags", "fields", "timestamp")
 SCALAR_MEMBERS = ("kind", "decimalText", "value")
 MAPPABLE = ("int64", "uint64", "float64")
 
+# A member name in another spelling than the fixed one. Few lines have one, so all others cost this look alone.
+_NAMES = "|".join(POINT_MEMBERS + SCALAR_MEMBERS)
+OTHER_CASE = rf'"(?!(?:{_NAMES})")(?iu:{_NAMES})"\s*+:'
+TEXT_MAP = "map<string,string>"  # its entries keep the order and the repeats of the text
+
 
 def check_numeric_mapping(mapping: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
     """(measurement, field, kind) rows: known kinds, no duplicate (measurement, field)."""
@@ -47,6 +52,40 @@ def _member(m: Column, name: str) -> Column:
     return F.try_element_at(m, F.lit(name))
 
 
+def _folded(name: Column) -> Column:
+    return F.lower(F.upper(name))
+
+
+def _text_entries(json: Column) -> Column:
+    """The members of a JSON object as (key, value text), in the order of the text."""
+    return F.map_entries(F.from_json(json, TEXT_MAP))
+
+
+def _last_text(entries: Column, name: Column) -> Column:
+    return F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(-1))["value"]
+
+
+def _last_folded(entries: Column, name: str) -> Column:
+    return F.try_element_at(F.filter(entries, lambda e: _folded(e["key"]) == name.lower()), F.lit(-1))["value"]
+
+
+def _spelled(m: Column, entries: Column, names: tuple[str, ...], plain: tuple[str, ...]) -> Column:
+    """MAP<STRING, VARIANT> with `names` in their own spelling, whatever the case in the text.
+
+    Of several spellings of one member the last in the text counts; for `plain` members the last that is not JSON null.
+    """
+    def last(name):
+        same = F.filter(entries, lambda e: _folded(e["key"]) == name.lower())
+        if name in plain:
+            same = F.filter(same, lambda e: ~F.is_variant_null(F.try_element_at(m, e["key"])))
+        return F.try_element_at(m, F.try_element_at(same, F.lit(-1))["key"])
+
+    known = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), last(n).alias("value")) for n in names]), lambda e: e["value"].isNotNull())
+    folded = F.array(*[F.lit(n.lower()) for n in names])
+    unknown = F.filter(F.map_entries(m), lambda e: ~F.array_contains(folded, _folded(e["key"])))
+    return F.map_from_entries(F.concat(known, unknown))
+
+
 def _present(v: Column) -> Column:
     """Set and not JSON null."""
     return v.isNotNull() & ~F.is_variant_null(v)
@@ -106,9 +145,17 @@ def parse_typed_jsonl(
         df.withColumn("_json", F.when(alone, F.try_variant_get("_object", "$.line", "variant"))).drop("_list", "_object")
     )
     df = points.evaluate_once(df.withColumn("_root", _object(F.col("_json"))).drop("_json"))
-    root = F.col("_root")
+    # Members in any case: only lines that have such names are read a second time.
+    df = points.evaluate_once(df.withColumn(
+        "_entries", F.when(F.col("_root").isNotNull() & F.col("_line").rlike(OTHER_CASE), _text_entries(F.col("_line")))))
+    entries, root = F.col("_entries"), F.col("_root")
+    df = points.evaluate_once(df.withColumns({
+        "_root": F.when(entries.isNotNull(), _spelled(root, entries, POINT_MEMBERS, ("schemaVersion", "measurement"))).otherwise(root),
+        "_inner": F.when(entries.isNotNull(), _text_entries(_last_folded(entries, "fields"))),
+        "_time_inner": F.when(entries.isNotNull(), _text_entries(_last_folded(entries, "timestamp"))),
+    }))
     df = df.select(
-        *keep, "_root", F.octet_length("_line").alias("_bytes"),
+        *keep, "_root", "_inner", "_time_inner", F.octet_length("_line").alias("_bytes"),
         _member(root, "schemaVersion").alias("_version"),
         _string(_member(root, "measurement")).alias("measurement"),
         _member(root, "tags").alias("_tags"),
@@ -123,12 +170,19 @@ def parse_typed_jsonl(
     df = df.withColumn("_tag_entries", F.map_entries(tags))
     # Each step is an array of its own, so a member is looked up once and not once per use.
     as_maps = F.transform(F.map_entries("_fields"), lambda e: F.struct(e["key"].alias("key"), _object(e["value"]).alias("m")))
+    def spelled_field(e):
+        inner = _text_entries(_last_text(F.col("_inner"), e["key"]))
+        return F.when(F.col("_inner").isNotNull(), _spelled(e["m"], inner, SCALAR_MEMBERS, ("kind",))).otherwise(e["m"])
+
+    as_maps = F.transform(as_maps, lambda e: F.struct(e["key"].alias("key"), spelled_field(e).alias("m")))
     as_members = F.transform(as_maps, lambda e: F.struct(e["key"].alias("key"), _members(e["m"]).alias("p")))
-    df = df.withColumn("_time_map", _object(F.col("_timestamp")))
+    time_map = _object(F.col("_timestamp"))
+    df = df.withColumn("_time_map", F.when(
+        F.col("_time_inner").isNotNull(), _spelled(time_map, F.col("_time_inner"), SCALAR_MEMBERS, ("kind",))).otherwise(time_map))
     df = points.evaluate_once(df.withColumns({
         "_time_members": _members(F.col("_time_map")),
         "_staged": F.transform(as_members, lambda e: F.struct(e["key"].alias("key"), _scalar_parts(e["p"]).alias("s"))),
-    }).drop("_time_map"))
+    }).drop("_time_map", "_inner", "_time_inner"))
     df = df.withColumn("_time", _scalar_parts(F.col("_time_members"))).drop("_time_members")
     df = points.evaluate_once(df)
     if mapping is not None:
