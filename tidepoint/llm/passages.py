@@ -170,16 +170,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").mapInArrow(check, "a long, b long")
 
 
-def packed(sets: DataFrame) -> DataFrame:
-    """id, shingles (5 bytes each) of the sets that have any."""
-    def run(batches):
-        for batch in batches:
-            cut = [np.unique(np.frombuffer(s.as_py(), np.uint64) & np.uint64((1 << 40) - 1)) for s in batch.column("shingles")]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([s.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for s in cut], pa.binary())], ["id", "shingles"])
-
-    return sets.where(F.length("shingles") > 0).mapInArrow(run, "id long, shingles binary")
-
-
 def clusters_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """id, component of the contents that are linked with another."""
     pairs, hot = key_pairs(rows)
@@ -189,7 +179,9 @@ def clusters_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     links = stored(confirmed(pairs, sets), "passage-links")
     named = stored(components(links), "passage-components")
     if not hot.isEmpty():
-        rest = crowd_pairs(packed(sets.join(hot, "key", "left_semi")), named).join(pairs, ["a", "b"], "left_anti")
+        # Contents of less than a shingle have an empty set.
+        crowded = sets.join(hot, "key", "left_semi").where(F.length("shingles") > 0).withColumnRenamed("key", "id")
+        rest = crowd_pairs(crowded, named).join(pairs, ["a", "b"], "left_anti")
         more = stored(confirmed(rest, sets), "passage-links")
         if not more.isEmpty():
             named = components(links.union(more))
