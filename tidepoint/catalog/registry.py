@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidepoint.functions.work import shared_dir  # noqa: F401
 from tidepoint.sources import tables
 
+ROWS_A_TASK = 50_000
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -44,14 +45,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table for work that is heavy per row: a scan with fewer tasks than cores is spread first.
+    """A table for work that is heavy per row, dealt out to tasks of at most ROWS_A_TASK rows and no fewer tasks than cores.
 
-    The scan has no shuffle below it, so asking for its partitions is only planning. A large
-    table has more splits than cores and is left alone.
+    Splits say little about rows: a row group is read by one task, whatever the number of splits it spans.
     """
     df = table(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK)))
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
