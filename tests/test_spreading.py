@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidepoint.catalog import registry
+from tidepoint.sources import framing
 
 
 def test_one_row_group_of_many_splits_is_spread(spark, tmp_path, monkeypatch):
@@ -16,3 +17,10 @@ def test_one_row_group_of_many_splits_is_spread(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sum(r["count"] for r in rows) == 20_000 and max(r["count"] for r in rows) <= 600
+
+
+def test_byte_ranges_are_not_put_into_one_task(spark):
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    files = spark.createDataFrame([(f"file:/f{i}", 16_000) for i in range(4)], "path string, length long")
+    where = framing.ranges(files, 1000).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in where) == 64 and max(r["count"] for r in where) <= 8

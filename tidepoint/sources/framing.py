@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepoint.functions.work import dealt, stored
 from tidepoint.sources.artifacts import open_range
 
 OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
@@ -123,7 +124,7 @@ def ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     part = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.col("length") - 1) / split_bytes), F.lit(0))))
     cut = files.select(F.col("path").alias("source_file"), "length", part.alias("part")).withColumn("start", F.col("part") * split_bytes)
     cut = cut.select("source_file", "part", "start", F.least(F.lit(split_bytes), F.col("length") - F.col("start")).alias("size"), "length")
-    return cut.repartition("source_file", "part")
+    return dealt(cut, F.col("size") / SPLIT_BYTES)
 
 
 def _exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,8 +195,7 @@ def read_objects(
 
     full = f"source_file string, part long, place long, ends boolean, {schema}"
     arrow, empty = to_arrow_schema(StructType.fromDDL(full)), dict.fromkeys(names)
-    spread = entered(files, split_bytes).repartition("source_file", "part")
-    return spread.mapInArrow(run, full)
+    return dealt(stored(entered(files, split_bytes), "ranges"), F.col("size") / SPLIT_BYTES).mapInArrow(run, full)
 
 
 def within_first_problem(objects: DataFrame) -> DataFrame:
