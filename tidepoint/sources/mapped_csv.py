@@ -189,11 +189,12 @@ def _with_quotes_before(raw: DataFrame) -> tuple[DataFrame, bool]:
     few = found <= BROADCAST_ROWS
     joined = marked.join(F.broadcast(splits) if few else splits, keys, "left")
     zero = F.lit(0).cast("long")
+    # Records and their parts are read several times, so what was counted is kept.
     calm = joined.where(F.coalesce("_within", zero) == 0).withColumn("_toggles", F.coalesce("_toggles", zero)).drop("_within")
     busy = joined.where("_within > 0").drop("_within")
     if not few:  # a join that shuffles loses the order of the scan
         busy = busy.repartition(*keys).sortWithinPartitions(*keys, "row_id")
-    return calm.unionByName(busy.mapInArrow(_count_along, busy.schema)), True
+    return stored(calm.unionByName(busy.mapInArrow(_count_along, busy.schema)), "counted-lines"), True
 
 
 def _count_along(batches):
@@ -297,6 +298,8 @@ def read_mapped_csv(
     named = rows.select(*place, F.col("__corrupt").alias("_corrupt"), *[F.col(s).alias(n) for s, n in zip(slots, names)])
     parsed = points_from_csv(named, mapping, keep=place)
     parsed = parsed.withColumnsRenamed({f"_{c}": c for c in (*lines.PLACE, "raw", "size")})
+    # Points and rejects come from one pass; only rejects need their text.
+    parsed = stored(parsed.withColumn("raw", F.when(F.col("code").isNotNull(), F.col("raw"))), "csv-points")
     good = parsed.where(F.col("code").isNull()).drop("code", "raw", "size")
     bad = parsed.where(F.col("code").isNotNull()).select(*lines.PLACE, "raw", "size", "code").unionByName(
         large.withColumn("code", F.lit(POINT_TOO_LARGE)), allowMissingColumns=True)
