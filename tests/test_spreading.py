@@ -1,11 +1,12 @@
 """Work that is heavy per row or per file is dealt out evenly, whatever the splits and AQE make of it."""
 
+import gzip
 import shutil
 
 from pyspark.sql import functions as F
 
 from tidepoint.catalog import registry
-from tidepoint.sources import framing, mapped_csv
+from tidepoint.sources import artifacts, framing, mapped_csv
 
 
 def test_one_row_group_of_many_splits_is_spread(spark, tmp_path, monkeypatch):
@@ -36,3 +37,10 @@ def test_points_and_rejects_of_csv_come_from_one_pass(spark, tmp_path):
     assert sorted((r.line_no, r.raw, r.code) for r in rejects.collect()) == [(2, '1,2,"a\nb"', "INVALID_INPUT"), (4, "2,x,q", "INVALID_INPUT")]
     shutil.move(tmp_path / "c", tmp_path / "gone")
     assert [r.canonical_lp for r in good.collect()] == ['m n="c, d",v=4i 3']
+
+
+def test_files_are_not_verified_in_one_task(spark, tmp_path):
+    for i in range(32):
+        (tmp_path / f"data-{i}.lp.gz").write_bytes(gzip.compress(b"m v=1 1\n"))
+    found = artifacts.verify_artifacts(spark, str(tmp_path / "*.gz")).withColumn("p", F.spark_partition_id()).collect()
+    assert len(found) == 32 and all(r.valid for r in found) and len({r.p for r in found}) > 8

@@ -9,6 +9,7 @@ from tidepoint.catalog.registry import (
     shared_dir, spread_table, table,
 )
 from tidepoint.functions import identity
+from tidepoint.functions.work import stored
 from tidepoint.operators import aggregate, batches, results
 from tidepoint.plans import exports as packages
 from tidepoint.plans import slices
@@ -247,7 +248,7 @@ SLICE_POINTS, SLICES = 2000, 10_000
 def export_package(spark, sf):
     """Plan, write, verify, list in a manifest, and read the package back."""
     directory = shared_dir(spark, "package")
-    found = event_points(spark, sf)
+    found = stored(event_points(spark, sf), "points")  # made once for the plan, the files and the schema
     plan = slices.plan_bounded_slices(found, JOB, JAN_1, FEB_1, max(SLICE_POINTS, table(spark, sf, "events").count() // SLICES))
     parts = exports.write_canonical_lp(slices.assign_bounded_slices(found, plan), plan, directory)
     spec = {"database": "d", "retention_policy": "r", "measurement": "events", "start_ns": JAN_1, "end_ns": FEB_1}
@@ -279,7 +280,7 @@ def plan_restart(spark, sf):
         F.concat(F.lit("data-"), F.col("o_orderkey"), F.lit(".lp.gz")).alias("file"), "o_orderstatus", "o_orderpriority", "o_custkey",
     )
     priority = F.col("o_orderpriority")
-    stored = plan.where(F.col("o_orderstatus") != "P").select(
+    known = plan.where(F.col("o_orderstatus") != "P").select(
         "fragment_id",
         F.when(priority == "1-URGENT", "CORRUPT").when(priority == "2-HIGH", "FINALIZING").otherwise("COMPLETE").alias("state"),
         F.col("o_custkey").alias("compressed_size"), F.col("o_custkey").alias("uncompressed_size"),
@@ -290,7 +291,7 @@ def plan_restart(spark, sf):
         F.when(priority == "3-MEDIUM", F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("compressed_size"),
         F.col("o_custkey").alias("uncompressed_size"), F.sha2(F.col("file"), 256).alias("sha256"),
     )
-    return packages.plan_restart(plan.select("ordinal", "fragment_id", "file"), stored, verdicts).select("ordinal", "action")
+    return packages.plan_restart(plan.select("ordinal", "fragment_id", "file"), known, verdicts).select("ordinal", "action")
 
 
 @query(

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepoint.functions.work import stored
+from tidepoint.functions.work import dealt, stored
 from tidepoint.model import RejectedInput
 from tidepoint.sinks.files import EMPTY_GZIP
 from tidepoint.sources.artifacts import BLOCK, file_system
@@ -125,7 +125,7 @@ def commit(slices: DataFrame, attempts: DataFrame, directory: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     planned = slices.select("ordinal", "file").join(attempts.select("ordinal", "attempt", "sha256"), "ordinal", "left")
-    done = stored(planned.repartition("ordinal").mapInArrow(run, settled), "settled")
+    done = stored(dealt(planned).mapInArrow(run, settled), "settled")
     bad = done.where(F.col("state").isin("OTHER_CONTENT", "ATTEMPT_MISSING")).orderBy("ordinal").limit(1).collect()
     if bad:
         raise RejectedInput("ARTIFACT_STATE", f"{bad[0]['file']}: {bad[0]['state']}")
