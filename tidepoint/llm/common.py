@@ -29,11 +29,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and reread: lineage ends, and a lost executor costs nothing before this point."""
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
+    """Write to the shared folder and reread: lineage ends, and a lost executor costs nothing before this point.
+
+    clean: the shuffle files of the write go when it ends, not when the driver next collects its garbage.
+    """
     spark = df.sparkSession
     folder = new_folder(spark, name)
-    df.write.parquet(folder)
+    before = spark.conf.get(CLEAN, None)
+    if clean:
+        spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        if clean:
+            spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 
